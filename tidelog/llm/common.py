@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,16 +44,30 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts the
     lineage: later jobs reread files instead of recomputing lost partitions."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
+    forget_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
     if path not in _made:
         _made.add(path)
         atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def by_weight(sizes: Sequence[int], limit: int) -> Iterator[slice]:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 SPACE = "▁"
 NONE = 1 << 60
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
@@ -165,4 +167,4 @@ def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, chu
                 d += [digest(x) for x in v.sp.decode(ids, num_threads=1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

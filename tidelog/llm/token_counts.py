@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_weight
+from .common import arrow_map, by_weight
 
 #: Inside a run of word characters, single spaces are where pieces start.
 SAFE = re.compile(r"(?<=\w) (?=\w)")
@@ -80,4 +80,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
             )
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(src, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
