@@ -33,3 +33,29 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest,
              CASE WHEN octet_length(b) >= {least} THEN max(page_id) OVER (PARTITION BY sha1(b), octet_length(b)) END AS m FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m <> page_id THEN m END AS refers_to FROM d"""
+
+
+def near_vectors_sql(least: float = 0.98) -> str:
+    return f"""
+WITH RECURSIVE ok AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= {least}),
+reach(vec_id, m) AS (SELECT vec_id, vec_id FROM ok UNION SELECT links.b, reach.m FROM reach JOIN links ON links.a = reach.vec_id WHERE reach.m < links.b),
+low AS (SELECT vec_id, min(m) AS m FROM reach GROUP BY vec_id),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, coalesce(low.m, e.vec_id) AS component_id, coalesce(low.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN deg USING (vec_id) LEFT JOIN low USING (vec_id)"""
+
+
+def near_duplicates_sql(least: float = 0.8) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+one AS (SELECT doc_id, unnest(s) AS x FROM sh),
+size AS (SELECT doc_id, len(s) AS n FROM sh),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE c::DOUBLE / (p.n + q.n - c) >= {least}),
+reach(doc_id, m) AS (SELECT doc_id, doc_id FROM size UNION SELECT links.b, reach.m FROM reach JOIN links ON links.a = reach.doc_id WHERE reach.m < links.b),
+low AS (SELECT doc_id, min(m) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(low.m, d.doc_id) AS class_id, coalesce(low.m, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN low USING (doc_id)"""

@@ -8,15 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
+from .dart_minhash import near_duplicates
+from .gam_quality import quality_scores
 from .jpeg_media import media_columns
 from .kd_shards import kd_shards
 from .license_rules import license_scan
+from .pca_dedup import near_vectors
 from .sentencepiece_bpe import sentencepiece_round_trip
 from .source_mix import mix
 from .token_counts import token_counts
 from .warc import warc_archive
 
 
+def op1_pca_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -25,6 +36,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op3_source_mix, op4_license_scan, op6_sentencepiece, op7_warc, op8_kd_shards, op9_jpeg_media, op10_token_counts]
+QUERIES = [op1_pca_dedup, op2_gam_quality, op3_source_mix, op4_license_scan, op5_dart_minhash, op6_sentencepiece, op7_warc, op8_kd_shards, op9_jpeg_media, op10_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": oracles.license_sql(), "op7_warc": oracles.warc_sql()}
+    return {
+        "op1_pca_dedup": oracles.near_vectors_sql(),
+        "op4_license_scan": oracles.license_sql(),
+        "op5_dart_minhash": oracles.near_duplicates_sql(),
+        "op7_warc": oracles.warc_sql(),
+    }

@@ -25,7 +25,7 @@ then size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, kept, running_totals
@@ -34,6 +34,11 @@ from .common import WORD, kept, running_totals
 GOLDEN = 5_700_357_409_661_599_241
 
 
+def _words() -> Column:
+    marks = F.coalesce(F.regexp_replace("text", WORD, "a"), F.lit(""))
+    return F.length(F.regexp_replace(marks, r"[\x20\x09-\x0D]+", "")).cast("long")
+
+
 def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
     """One row per source: source, source_size, weight, target, low, high (its interval
     of the cumulative targets, as shares). The windows run over sources, not rows."""
@@ -76,10 +81,8 @@ def ranked_slots(sources: DataFrame, slots: int, cells: int = 4096, run: int = 4
     return got.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r"))).select("slot", "source", (F.col("base") + F.col("k")).alias("rank"))
 
 
-def mix(docs: DataFrame, slots: int = 1 << 18, most: int = 3) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    words = F.length(F.regexp_replace(F.coalesce(F.regexp_replace("text", WORD, "a"), F.lit("")), r"[\x20\x09-\x0D]+", ""))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+def _shares(docs: DataFrame, slots: int, most: int) -> DataFrame:
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
     sizes = kept(sizes, "mix-sizes")
     sources = kept(targets(sizes, most), "mix-sources")
     total = sources.agg(F.max("total")).first()[0] or 0
@@ -94,4 +97,31 @@ def mix(docs: DataFrame, slots: int = 1 << 18, most: int = 3) -> DataFrame:
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("ask") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("ask") - passes * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, slots: int = 1 << 18, most: int = 3) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    return _shares(docs, slots, most).drop("source")
+
+
+def mixed_documents(docs: DataFrame, slots: int = 1 << 18, most: int = 3) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a document is
+    taken, and one with its first words where a part of it is taken (words are then
+    joined by single spaces, and n_chars, if there, is the part's). Rows that share
+    doc_id, source and size share their words evenly, rounded down."""
+    keys = ["doc_id", "source", "size"]
+    got = _shares(docs, slots, most).groupBy(*keys).agg(F.floor(F.sum("taken") / F.count("*")).alias("taken")).where("taken > 0")
+    got = got.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("taken").alias("__taken"))
+    rows = docs.withColumn("__words", _words())
+    same = rows["doc_id"].cast("long").eqNullSafe(got["__doc_id"]) & rows["source"].cast("string").eqNullSafe(got["__source"]) & (rows["__words"] == got["__size"])
+    rows = rows.join(got, same)
+    times = F.ceil(F.col("__taken") / F.col("__words")).cast("int")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
+    rest = F.least(F.col("__words"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__words")).cast("int")
+    part = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, rest), " ")
+    rows = rows.withColumn("__cut", rest < F.col("__words")).withColumn("text", F.when(F.col("__cut"), part).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
