@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -82,17 +82,17 @@ def by_weight(sizes: Sequence[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def running_totals(df: DataFrame, group: str, order: str, weight: str, before: str, buckets: int = 1024) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: str, weight: str, before: str, buckets: int = 1024, about: DataFrame | None = None) -> DataFrame:
     """Adds `before`: the sum of `weight` over the rows of the same group that come
-    earlier by (hash of `order`, `order`, weight). A group may hold most rows: sums
-    are taken in hash buckets first, so no task sees a whole group."""
-    from pyspark.sql import Window
-
-    h = F.xxhash64(F.col(order))
-    df = df.withColumn("__h", h).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
+    earlier by (hash of `order`, `order`, weight), and the columns of `about`, a row for
+    each group in its column `of`. A group may hold most rows: sums are taken in hash
+    buckets first and rows meet them by group and bucket, so no task sees a whole group."""
+    df = df.withColumn("__h", F.xxhash64(F.col(order))).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)).cast("int"))
     sums = df.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__gb")).agg(F.sum(weight).alias("__w"))
     earlier = Window.partitionBy("__g").orderBy("__gb").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__base", F.coalesce(F.sum("__w").over(earlier), F.lit(0))).drop("__w")
+    if about is not None:
+        sums = sums.join(about, F.col("__g").eqNullSafe(F.col("of")), "left").drop("of")
     inside = Window.partitionBy(group, "__b").orderBy("__h", order, weight).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = df.join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__gb")), "left")

@@ -92,8 +92,7 @@ def _shares(docs: DataFrame, slots: int, most: int) -> DataFrame:
     # as many words as the ranks' blocks hold, never above the cap
     uses = uses.withColumn("ask", F.least(F.coalesce(F.col("ranks"), F.lit(0)) * block, F.col("source_size") * most).cast("long"))
     uses = uses.select(F.col("source").alias("of"), "source_size", "target", "ask")
-    placed = running_totals(sizes, "source", "doc_id", "size", "begin")
-    placed = placed.join(uses, F.col("source").eqNullSafe(F.col("of")), "left")
+    placed = running_totals(sizes, "source", "doc_id", "size", "begin", about=uses)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("ask") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("ask") - passes * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
