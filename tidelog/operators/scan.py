@@ -123,7 +123,7 @@ def scan_stats(logs: DataFrame, q: Query) -> DataFrame:
 def files_in_order(files: DataFrame) -> DataFrame:
     """Files by (epoch hour, path), numbered; a row for each file, so one task will do."""
     path = F.concat_ws("/", *(F.concat(F.lit(f"{c}="), F.col(c)) for c in PATH))
-    return files.select(path.alias("path"), parse_hour(F.col("hour")).alias("epoch_hour")).withColumn("at", F.row_number().over(Window.orderBy("epoch_hour", "path")))
+    return files.select(path.alias("path"), parse_hour(F.col("hour")).alias("epoch_hour")).withColumn("at", F.row_number().over(Window.orderBy("epoch_hour", "path")).cast("long"))
 
 
 def without_limit(q: Query) -> Query:

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shape_hash
-from ..functions.masking import masked_text
+from ..functions.masking import with_masked_text
 from ..functions.times import MINUTE_NS, floor_ns
 
 
 def with_text(logs: DataFrame) -> DataFrame:
     """Adds `template`, the masked text of the body."""
-    return logs.withColumn("template", masked_text(F.col("body")))
+    return with_masked_text(logs)
 
 
 def spine(logs: DataFrame, *more: Column) -> DataFrame:

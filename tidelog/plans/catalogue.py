@@ -95,7 +95,7 @@ def scan_streaming(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     rows = scan.scan_each(stored(spark, d), scan.Query(LO, LO + 6 * s.HOUR))
-    return rows.select(hex_("event_id", "id"), F.row_number().over(Window.orderBy("hour", *scan.PATH, "timestamp_ns", "event_id")).alias("at"))
+    return rows.select(hex_("event_id", "id"), F.row_number().over(Window.orderBy("hour", *scan.PATH, "timestamp_ns", "event_id")).cast("long").alias("at"))
 
 
 @query(s.with_logs(f"SELECT id, ts_ns FROM (SELECT * FROM logs WHERE ts_ns >= {HI - 7200 * NS} AND severity >= 13 ORDER BY {_ORDER} LIMIT 20)"))
