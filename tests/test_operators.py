@@ -385,3 +385,31 @@ def test_accounts():
 def test_admission(spark):
     df = spark.createDataFrame([("a", "i1"), (None, None), ("b", "i1"), ("a", "zz")], "tenant_claim string, requested string")
     assert catalog.admitted(df, "a", ["i1"]).count() == 2 and catalog.admitted(df, "a", ["i1"], whole=True).count() == 0
+
+
+def test_policy_document():
+    from tidelog.operators import settings as st
+
+    new = {**st.DEFAULT, "ingest": {"critical_enqueue_timeout_ms": 0, "queue_capacity": 10}, "retention": st.DEFAULT["retention"][:2]}
+    assert st.problems(st.DEFAULT) == [] and st.problems(new) == []
+    assert [p for p, *_ in st.diff(st.DEFAULT, new)] == ["ingest.critical_enqueue_timeout_ms", "ingest.queue_capacity", "retention[2].min_severity", "retention[2].name", "retention[2].retention_secs"]
+    assert st.lossy(st.DEFAULT, new) == ["ingest.queue_capacity", "ingest.critical_enqueue_timeout_ms"]
+    assert st.pending_restart(new, st.DEFAULT) == {"ingest.queue_capacity": 65_536}
+    assert st.overlay(st.DEFAULT, new, ["ingest.queue_capacity", "retention[2].name"])["ingest"]["queue_capacity"] == 10
+    assert st.sources(new, ["retention"])["retention[0].name"] == "runtime"
+    with pytest.raises(KeyError):
+        st.overlay(st.DEFAULT, new, ["storage.nothing"])
+    bad = {**st.DEFAULT, "retention": [{"name": "a", "min_severity": 1, "retention_secs": 0}, {"name": "A", "min_severity": 1, "retention_secs": 5}], "storage": {"disk_budget_bytes": 0, "high_water": 0.9, "critical_water": 0.8, "reclaim_target": 0.95}}
+    assert sorted(p for p, _ in st.problems(bad)) == ["retention[0].min_severity", "retention[0].retention_secs", "retention[1].min_severity", "retention[1].name", "storage.disk_budget_bytes", "storage.high_water", "storage.reclaim_target"]
+
+
+def test_lineage_links(spark):
+    old = spark.createDataFrame([("disk full on <PATH>",), ("user <NUM> in",)], "template string")
+    new = spark.createDataFrame([("disk is full on <PATH>",), ("nothing alike",)], "template string")
+    assert [(r.now, r.was) for r in dictionary.lineage_links(old, new).collect()] == [("disk is full on <PATH>", "disk full on <PATH>")]
+
+
+def test_export_by_scope(spark, tmp_path):
+    df = spark.createDataFrame([("t", "a", 1), ("t", "b", 2)], "tenant string, index string, template_id long")
+    dictionary.export(df, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 2

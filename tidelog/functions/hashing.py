@@ -69,7 +69,7 @@ def transaction_kept(id_: Column, rate: float) -> Column:
         return F.lit(True)
     if rate <= 0:
         return F.lit(False)
-    return _mod(_halves(F.encode(id_, "UTF-8"), SHAPE_SHIFT), 10_000) < int(rate * 10_000)
+    return _mod(_halves(F.encode(id_, "UTF-8"), SHAPE_SHIFT), 10_000) < rate * 10_000
 
 
 def little_endian(n: Column) -> Column:

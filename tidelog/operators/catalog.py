@@ -76,3 +76,63 @@ def admitted(logs: DataFrame, tenant: str, indexes: list[str], whole: bool = Fal
     if whole:
         out = out.join(out.where("not __ok").select(F.lit(1).alias("x")).limit(1), F.lit(True), "left_anti")
     return out.where("__ok").drop("__ok").withColumn("tenant", F.lit(tenant))
+
+
+def object_listing(paths: DataFrame, prefix: str = "", delimiter: str | None = None, after: str | None = None, most: int = 1000) -> DataFrame:
+    """A page of keys under a prefix, with their common prefixes up to the delimiter as one
+    entry each, in order after a marker."""
+    rest = F.substr("path", F.lit(len(prefix) + 1))
+    out = paths.where(F.col("path").startswith(prefix))
+    if delimiter:
+        cut = F.instr(rest, delimiter)
+        entry = F.when(cut > 0, F.concat(F.lit(prefix), F.substr(rest, F.lit(1), cut + len(delimiter) - 1))).otherwise(F.col("path"))
+        out = out.select(entry.alias("key"), (cut > 0).alias("is_prefix")).distinct()
+    else:
+        out = out.select(F.col("path").alias("key"), F.lit(False).alias("is_prefix"))
+    if after is not None:
+        out = out.where(F.col("key") > after)
+    return out.orderBy("key").limit(most)
+
+
+def in_scope(logs: DataFrame, scopes: list[tuple[str, str | None]]) -> DataFrame:
+    """What a reader may see: (tenant, index) pairs, index None for all of a tenant."""
+    ok = F.lit(False)
+    for tenant, index in scopes:
+        ok = ok | ((F.col("tenant") == tenant) & (F.lit(True) if index is None else F.col("index") == index))
+    return logs.where(ok)
+
+
+def unconfirmed(files: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """Files whose (path, bytes) was never confirmed as uploaded."""
+    return files.join(uploaded.select("path", "bytes"), ["path", "bytes"], "left_anti")
+
+
+def pending_retires(files: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """Uploads whose file is gone here."""
+    return uploaded.join(files.select("path"), "path", "left_anti")
+
+
+def audit_history(audit: DataFrame, limit: int) -> DataFrame:
+    """The newest entries of an append-only audit."""
+    return audit.orderBy(F.desc("at_ms"), F.desc("seq")).limit(limit)
+
+
+def node_info(files: DataFrame, budget: int) -> DataFrame:
+    """One row per index: files, rows, bytes and the share of the disk budget."""
+    by = files.groupBy("tenant", "index").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    return by.withColumn("disk_fraction", F.col("bytes") / F.lit(float(budget)) if budget else F.lit(0.0))
+
+
+def shed(logs: DataFrame, capacity: int, pressure: str = "normal") -> DataFrame:
+    """Adds `admitted` per arrival second: at critical pressure debug records are refused;
+    beyond the capacity of a second debug and then info records are, never warnings."""
+    from pyspark.sql import Window
+
+    from ..functions.severity import level_class
+    from ..functions.times import int_div
+
+    rank = F.when(F.col("severity") >= 13, 0).when(F.col("severity") >= 9, 1).otherwise(2)
+    second = Window.partitionBy(int_div(F.col("observed_ns"), 1_000_000_000)).orderBy(rank, "observed_ns", "event_id")
+    fits = (F.row_number().over(second) <= capacity) | (rank == 0)
+    calm = F.lit(pressure != "critical") | (level_class(F.col("severity")) != "debug")
+    return logs.withColumn("admitted", fits & calm)

@@ -80,3 +80,26 @@ def churn(before: DataFrame, after: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), zero).alias("events_on_changed"),
         F.coalesce(F.sum("n"), zero).alias("events"),
     )
+
+
+def export(entries: DataFrame, path: str) -> None:
+    """Writes a dictionary or history, a folder for each scope, in place of the last one."""
+    entries.repartition(*SCOPE).write.mode("overwrite").partitionBy(*SCOPE).parquet(path)
+
+
+def lineage_links(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
+    """For each new template the retired one of most similar text, if similar enough. Both
+    are lists of one release's changes; pairs meet through a word they share."""
+    import difflib
+
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
+    a = old.select(F.col("template").alias("was"), words(F.col("template")).alias("w"))
+    b = new.select(F.col("template").alias("now"), words(F.col("template")).alias("w"))
+    scored = a.join(b, "w").select("was", "now").distinct().withColumn("ratio", ratio("was", "now")).where(F.col("ratio") >= least)
+    return scored.groupBy("now").agg(F.max(F.struct("ratio", "was")).alias("best")).select("now", F.col("best.was").alias("was"), F.col("best.ratio").alias("ratio"))

@@ -75,3 +75,10 @@ def frames(lines: DataFrame, stream: str = "service", order: str = "observed_ns"
     w = Window.partitionBy(stream).orderBy(order, "value").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0))
     return lines.withColumn("frame", F.call_function("div", before.cast("long"), F.lit(size).cast("long")))
+
+
+def shaped(captured: DataFrame) -> DataFrame:
+    """How each error goes out: with its context, or bare to trackers and folded into the
+    service's and template's aggregate at collectors."""
+    full = F.col("status") == "window"
+    return captured.select("event_id", "status", F.when(full, "context").otherwise("bare").alias("tracker"), F.when(full, "context").otherwise("aggregate").alias("collector"))

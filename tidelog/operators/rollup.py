@@ -65,3 +65,13 @@ def bytes_avoided(logs: DataFrame, sent: Column) -> DataFrame:
     size = F.octet_length("body").cast("long")
     seen, out = F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(sent, size)), F.lit(0))
     return logs.agg(seen.alias("seen"), out.alias("sent"), (seen - out).alias("avoided"))
+
+
+def item_kept(kind: Column, event_id: Column, rate: float, events: bool = True, attachments: bool = True, unknown: bool = False) -> Column:
+    """The forwarding rule of envelope items: transactions and profiles by one sample of
+    the envelope's id, sessions and client reports always."""
+    from ..functions.hashing import transaction_kept
+
+    known = ["session", "sessions", "client_report", "check_in", "replay_event", "log"]
+    out = F.when(kind == "event", F.lit(events)).when(kind.isin("transaction", "profile"), transaction_kept(event_id, rate))
+    return out.when(kind.isin("attachment", "replay_recording"), F.lit(attachments)).when(kind.isin(known), F.lit(True)).otherwise(F.lit(unknown))

@@ -145,3 +145,10 @@ def spine_payload(logs: DataFrame) -> DataFrame:
 def sketch_counts(logs: DataFrame) -> DataFrame:
     """Approximate distinct bodies per template, by HyperLogLog; and how many rows."""
     return with_text(logs).groupBy("template").agg(F.approx_count_distinct("body", 0.02).alias("bodies"), F.count("*").alias("n"))
+
+
+def frequent_bodies(logs: DataFrame, k: int = 5) -> DataFrame:
+    """Per template the bodies that come most often, by a bounded sketch; its counts are
+    estimates."""
+    top = with_text(logs).groupBy("template").agg(F.expr(f"approx_top_k(body, {k})").alias("top"))
+    return top.select("template", F.explode("top").alias("t")).select("template", F.col("t.item").alias("body"), F.col("t.count").alias("n"))

@@ -886,3 +886,78 @@ def rate_limits(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     head = F.concat(F.col("event_id") % 60, F.lit(":"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise(""), F.lit(":scope"))
     return receivers.rate_limits(e.select(head.alias("h"), F.col("event_id").alias("at")), "h", "at")
+
+
+# --- more of the catalog ---------------------------------------------------------------
+
+
+@query(s.with_logs("SELECT DISTINCT regexp_extract(path, '^tenant=default/index=main/[^/]*/') AS key, true AS is_prefix FROM f ORDER BY key LIMIT 100", _FILES))
+def object_listing(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.object_listing(files(spark, d), "tenant=default/index=main/", "/", most=100)
+
+
+@query(s.with_logs("SELECT path FROM f WHERE level <> 'info' OR rows % 2 = 1", _FILES))
+def unconfirmed_files(spark: SparkSession, d: str) -> DataFrame:
+    have = files(spark, d)
+    sent = have.where("level = 'info'").withColumn("bytes", F.when(F.col("rows") % 2 == 0, F.col("bytes")).otherwise(F.col("bytes") + 1))
+    return catalog.unconfirmed(have, sent).select("path")
+
+
+@query(s.with_logs("SELECT path FROM f WHERE level = 'debug'", _FILES))
+def pending_retires(spark: SparkSession, d: str) -> DataFrame:
+    have = files(spark, d)
+    return catalog.pending_retires(have.where("level <> 'debug'"), have).select("path")
+
+
+@query(s.with_logs("SELECT count(*) AS files, sum(rows)::BIGINT AS rows, sum(bytes)::BIGINT AS bytes, sum(bytes) / 1e6::DOUBLE AS disk_fraction FROM f", _FILES))
+def node_info(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.node_info(files(spark, d), 1_000_000).drop("tenant", "index")
+
+
+@query(s.with_logs("SELECT hour, count(*) AS n FROM logs WHERE hour LIKE '%T0%' GROUP BY hour"))
+def read_scope(spark: SparkSession, d: str) -> DataFrame:
+    rows = stored(spark, d).withColumn("index", F.substring("hour", 11, 2))
+    return catalog.in_scope(rows, [("default", "T0"), ("other", None)]).groupBy("hour").agg(F.count("*").alias("n"))
+
+
+@query(s.with_logs("SELECT id, severity >= 13 OR (severity >= 9 AND r <= 1) AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY ts_ns // 1000000000 ORDER BY CASE WHEN severity >= 13 THEN 0 WHEN severity >= 9 THEN 1 ELSE 2 END, ts_ns, id) AS r FROM logs)"))
+def load_shedding(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.shed(logs(spark, d), 1, "critical").select(hex_("event_id", "id"), "admitted")
+
+
+@query(
+    f"SELECT event_id, CASE event_type WHEN 'error' THEN true WHEN 'purchase' THEN {s.unsigned_hash(chr(39) + 'e' + chr(39) + ' || event_id')} % 10000 < 1500 WHEN 'view' THEN false WHEN 'click' THEN true ELSE false END AS kept FROM events"
+)
+def envelope_policy(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_type") == "error", "event").when(F.col("event_type") == "purchase", "transaction").when(F.col("event_type") == "view", "attachment").when(F.col("event_type") == "click", "session").otherwise("odd")
+    return e.select("event_id", rollup.item_kept(kind, F.concat(F.lit("e"), "event_id"), 0.15, attachments=False).alias("kept"))
+
+
+@query("SELECT event_id, 'https://h' || user_id % 3 || '.example/api/' || event_type || '/envelope/' AS url, 'k' || event_id AS key FROM events")
+def upstream_targets(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import upstream
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    address = upstream.dsn(F.concat(F.lit("https://pub:secret@h"), F.col("user_id") % 3, F.lit(".example/9/")))
+    auth = upstream.auth_header(F.concat(F.lit("Sentry sentry_version=7, sentry_key=k"), "event_id"))
+    rows = e.withColumn("d", address).withColumn("a", auth)
+    to = upstream.target("relay", F.col("a.key"), F.col("event_type"), F.col("d"), F.lit(None).cast(rows.schema["d"].dataType))
+    return rows.select("event_id", to.alias("t")).select("event_id", "t.url", "t.key")
+
+
+@query(s.with_logs("SELECT path FROM (SELECT path, hour, level, n, sum(bytes) OVER (PARTITION BY hour, level ORDER BY path) AS b, dense_rank() OVER (ORDER BY hour, level) AS p FROM (SELECT hour || '-' || level || '-' || id AS path, hour, level, 10 AS bytes, count(*) OVER (PARTITION BY hour, level) AS n FROM logs) WHERE n >= 4) WHERE p <= 4 AND b <= 45"))
+def compaction_plan(spark: SparkSession, d: str) -> DataFrame:
+    rows = stored(spark, d).select(*scan.PATH, F.concat_ws("-", "hour", "level", F.lower(F.hex("event_id"))).alias("path"), F.lit(10).alias("bytes"), F.lit(0).alias("written_secs"))
+    return policy.compactable(rows, 10_000, small=11, target=45).select("path")
+
+
+@query()
+def frequent_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return shapes.frequent_bodies(logs(spark, d))
+
+
+@query()
+def dispatch_shapes(spark: SparkSession, d: str) -> DataFrame:
+    w = context.captured(context.windows(labelled(spark, d), age_ns=1800 * NS))
+    return forward.shaped(w).groupBy("status", "tracker", "collector").agg(F.count("*").alias("n"))
