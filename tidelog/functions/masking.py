@@ -38,7 +38,12 @@ CLASSES = [
 UNITS = frozenset("sec secs ms msec s m h KB MB GB TB kb mb gb bytes".split())
 ASIDE_WORDS = 4
 WILD = "<*>"
-_compiled = [(name, re.compile(p.removesuffix("$") + (r"\Z" if p.endswith("$") else "")), least) for name, p, least in CLASSES]
+_anchored = [(rf"(?=[\s\S]{{{least},}})" if least else "") + (p.removesuffix("$") + r"\Z" if p.endswith("$") else p if p[0] == "^" else r"[\s\S]*" + p) for _, p, least in CLASSES]
+#: All classes in one pattern: the first that matches names the token.
+_any = re.compile("|".join(f"(?P<c{i}>{p})" for i, p in enumerate(_anchored)))
+_names = {f"c{i}": name for i, (name, _, _) in enumerate(CLASSES)}
+_tail = re.compile(r"[^A-Za-z0-9]+\Z")
+_UNIT_STARTS = frozenset(u[0] for u in UNITS)
 _component = re.compile(r"\[[A-Za-z0-9._:/-]+\]")
 _digit = re.compile("[0-9]")
 
@@ -46,11 +51,8 @@ _digit = re.compile("[0-9]")
 @lru_cache(maxsize=65_536)
 def classify(token: str) -> str:
     """The placeholder of a token, '' if it is static."""
-    if token:
-        for name, pattern, least in _compiled:
-            if (not least or len(token.encode()) >= least) and pattern.search(token):
-                return name
-    return ""
+    m = _any.match(token) if token else None
+    return _names[m.lastgroup] if m else ""
 
 
 @lru_cache(maxsize=65_536)
@@ -78,12 +80,12 @@ def mask_line(line: str) -> tuple[list[str], list[str]]:
     words, tokens, raw, at = line.split(), [], [], 0
     while at < len(words):
         word = words[at]
-        if word[0] == "(" and word[:2] != "()":
+        if word[0] == "(" and not word.startswith("()"):
             end = next((i for i in range(at, min(len(words), at + ASIDE_WORDS)) if words[i][-1] == ")"), None)
             if end is not None and _digit.search(" ".join(words[at : end + 1])):
                 at = end + 1
                 continue
-        if tokens and is_placeholder(tokens[-1]) and re.sub(r"[^A-Za-z0-9]+\Z", "", word) in UNITS:
+        if tokens and word[0] in _UNIT_STARTS and is_placeholder(tokens[-1]) and _tail.sub("", word) in UNITS:
             at += 1
             continue
         token, value = _one(word, at < 2)
