@@ -46,7 +46,7 @@ def test_agenda_equals_library(vocab):
 def test_list_and_heap_agendas_agree(vocab):
     r = random.Random(4)
     for _ in range(300):
-        s = [r.choice("abehintr▁ou") for _ in range(r.randrange(1, 60))]
+        s = [r.choice("abehintr ou") for _ in range(r.randrange(1, 60))]
         assert vocab.merge_few(list(s)) == vocab.merge_many(list(s))
 
 
@@ -57,12 +57,12 @@ def test_cache_is_bounded():
     texts = [f"w{i} and so on {i * 7}" for i in range(200)]
     for at in range(0, 200, 5):
         assert small.encode_batch(texts[at : at + 5]) == small.sp.encode(texts[at : at + 5])
-        assert len(small.known) < 60
+        assert len(small.known) + len(small.older) < 80
 
 
 def test_wrong_ids_are_an_error(vocab):
     broken = MergeVocabulary(vocab.sp)
-    broken.ids = broken.ids | {"▁the": 5}
+    broken.ids = broken.ids | {" the": 5}
     with pytest.raises(ValueError, match="differ"):
         broken.encode_batch(["over the top"])
 

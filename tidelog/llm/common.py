@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: set[str] = set()
+_own = ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. It is set here only
-    for a local master that has none; a cluster without one is an error."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local
+    master that has none gets one of its own; a cluster without one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tidelog-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    global _own
+    _own = _own or tempfile.mkdtemp(prefix="tidelog-")
+    return _own
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -61,7 +63,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers are used again: give it back
+
+    return df.mapInArrow(lean, schema)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:

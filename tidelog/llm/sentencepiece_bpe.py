@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-The text is normalised as the model asks (a leading space, spaces as U+2581) and cut
-before each run of U+2581 that follows another character. No piece of the vocabulary
-spans such a place (checked when the model is loaded; otherwise the text stays
+The text is normalised as the model asks (a leading space; spaces and U+2581 are one
+symbol, here the space) and cut before each run of spaces that follows another character.
+No piece of the vocabulary spans such a place (checked when the model is loaded; otherwise the text stays
 whole), so each unit is merged on its own: an agenda holds the adjacent symbol pairs
 whose concatenation is a piece, the highest score comes first, then the leftmost.
 What is left and no piece falls back to its bytes. Each unit that a worker sees for
@@ -30,44 +30,42 @@ from .common import arrow_map
 
 SPACE = "▁"
 NONE = 1 << 60
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
+UNIT = re.compile(" +[^ ]*")
 
 
 class MergeVocabulary:
     """The pieces of a loaded model, with the agenda that merges them."""
 
-    def __init__(self, processor, short: int = 40, cached: int = 600_000, check: bool = True):
+    def __init__(self, processor, short: int = 40, cached: int = 200_000, check: bool = True):
         self.sp = processor
         self.short, self.cached, self.check = short, cached, check
         n = processor.get_piece_size()
         normal = [i for i in range(n) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i))]
-        self.ids = {processor.id_to_piece(i): i for i in normal}
+        self.ids = {processor.id_to_piece(i).replace(SPACE, " "): i for i in normal}
         level = {s: k for k, s in enumerate(sorted({processor.get_score(i) for i in normal}, reverse=True))}
-        self.rank = {processor.id_to_piece(i): level[processor.get_score(i)] for i in normal}
+        self.rank = {p: level[processor.get_score(i)] for p, i in self.ids.items()}
         self.bytes = {}
         for i in range(n):
             if processor.is_byte(i):
                 self.bytes[int(processor.id_to_piece(i)[3:-1], 16)] = i
         self.unknown = processor.unk_id()
-        self.cuts = not any(a != SPACE and b == SPACE for p in self.ids for a, b in zip(p, p[1:]))
+        self.cuts = not any(a != " " and b == " " for p in self.ids for a, b in zip(p, p[1:]))
         self.text_of = [str(i) for i in range(n)]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge_few(self, symbols: list[str]) -> list[str]:
         """The agenda as a list in text order: for short units."""
         rank = self.rank.get
         agenda = [rank(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NONE:
-                break
+        while agenda and (best := min(agenda)) != NONE:
             i = agenda.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] = both = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NONE)
+                agenda[i - 1] = rank(symbols[i - 1] + both, NONE)
             if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], NONE)
+                agenda[i] = rank(both + symbols[i + 1], NONE)
         return symbols
 
     def merge_many(self, symbols: list[str]) -> list[str]:
@@ -111,28 +109,34 @@ class MergeVocabulary:
     def units(self, text: str) -> list[str]:
         if not text:
             return []
-        plain = SPACE + text.replace(" ", SPACE)
+        plain = " " + text.replace(SPACE, " ")
         return UNIT.findall(plain) if self.cuts else [plain]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        known, out, fresh = self.known, [], []
-        if len(known) > self.cached:
-            known.clear()
+        """Ids of each text. Units are kept in two generations of at most `cached` and a
+        batch; what is met again moves to the newer one, the older one is then dropped."""
+        out, fresh = [], []
+        known, older = self.known, self.older
         for t in texts:
             ids: list[int] = []
             for u in self.units(t):
                 got = known.get(u)
                 if got is None:
-                    got = self.merge(u)
+                    got = older.get(u)
+                    if got is None:
+                        got = self.merge(u)
+                        fresh.append((u, got))
                     if len(u) <= self.short:
                         known[u] = got
-                    fresh.append(u)
                 ids += got
             out.append(ids)
+            if len(known) > self.cached:
+                self.older = older = known
+                self.known = known = {}
         if self.check and fresh:
-            # the library puts one U+2581 before a text: give it the unit without its first
-            for u, ids in zip(fresh, self.sp.encode([u[1:] for u in fresh], num_threads=1), strict=True):
-                if len(u) > 1 and tuple(ids) != (known.get(u) or self.merge(u)):
+            # the library puts one space before a text: give it the unit without its first
+            for (u, mine), ids in zip(fresh, self.sp.encode([u[1:] for u, _ in fresh], num_threads=1), strict=True):
+                if len(u) > 1 and mine != tuple(ids):
                     raise ValueError(f"the merged ids of {u[:80]!r} differ from the library's")
         return out
 
@@ -152,16 +156,15 @@ def digest(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, chunk: int = 256) -> DataFrame:
+def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, chunk: int = 128) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             n, h, d = [], [], []
-            for at in range(0, len(texts), chunk):
-                ids = v.encode_batch(texts[at : at + chunk])
+            for at in range(0, b.num_rows, chunk):
+                ids = v.encode_batch([t or "" for t in b.column(1).slice(at, chunk).to_pylist()])
                 n += map(len, ids)
                 h += [digest(",".join([v.text_of[i] for i in x])) for x in ids]
                 d += [digest(x) for x in v.sp.decode(ids, num_threads=1)]
