@@ -60,9 +60,19 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of at most so many rows in this session, so that an
+    executor holds little of them at a time outside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

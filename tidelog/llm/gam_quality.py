@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import arrow_map
+from .common import arrow_map, small_batches
 
 FEATURES = ["log_words", "word_length", "longest_word", "upper", "symbols", "digits", "distinct_words", "top_word", "repeats", "triples", "lines_repeated", "odd_ends", "sentence_ends", "line_ends", "bars", "shouted"]
 _symbols = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -222,4 +222,5 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.7, fit_rows: i
         return pd.Series(model.score(np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES))))
 
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.where(F.pandas_udf(score, "double")("text") >= least)
