@@ -302,3 +302,18 @@ def test_pipeline(spark, sf):
     last = p.run(spark, sf).collect()
     v = vocabulary()
     assert sorted((r.doc_id, r.n_tokens) for r in last) == sorted((r.doc_id, len(v.sp.encode(r.text))) for r in out["mixing"])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "a b", None), (3, "long text " * 30_000, "s"), (4, "long text " * 30_000, "t"), (5, "one two three four five six", "s")]])
+def test_pipeline_odd_documents(spark, sf, rows):
+    import corpus_pipeline as p
+
+    now = docs(spark, rows) if rows else docs(spark, [(1, "x", "s")]).limit(0)
+    columns = now.columns
+    for name, stage in p.STAGES:
+        now = p.kept(stage(spark, now, sf), "odd")
+        assert now.columns == columns or name == p.STAGES[-1][0]
+    got = now.collect()
+    assert len({r.doc_id for r in got} & {3, 4}) <= 1
+    if not rows:
+        assert got == []
