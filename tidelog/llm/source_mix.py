@@ -7,14 +7,12 @@ shared again by weight, which is the level at which the capped shares add up.
 Schedule: slot j of `slots` is the golden-ratio point frac(j * 0.618...), computed in
 64-bit integers; the point falls into one source's interval of the cumulative targets,
 found through a grid of cells and an equal join. A source's slots are ranked (counts
-per run of slots first, so that no task ranks a whole source), and the slot of rank r
-takes block r of the source: `block` words of the source's documents in hash order,
-starting again after the last one. Ranks have no gaps, so a block of the first pass
-is met by slot ranks r, r + n, r + 2n and so on of the n blocks: the join of blocks
-to slots is the join of each document's stretch of words to its source's number of
-ranks. `block` is the words of the table over `slots`, rounded up, and there are as
-many slots as whole blocks in all words, so the schedule keeps its size and its error,
-a few blocks a source, at any scale.
+per run of slots first, so that no task ranks a whole source). A source's documents in
+hash order, repeated up to `most` times, are cut into blocks of equal words, and block r
+is joined to the slot of rank r; a block may end one pass and begin the next. What a
+document gives is the sum of its overlaps with joined blocks. `block` is the words of the
+table over `slots`, rounded up, and there are as many slots as whole blocks in all words,
+so the schedule keeps its size and its error, a few blocks a source, at any scale.
 
 Defined results: a null text has size 0; null sources are one source, the last; sources
 without words have target 0; documents of size 0 take 0; null or repeated doc_ids pass
@@ -87,16 +85,22 @@ def _shares(docs: DataFrame, slots: int, most: int) -> DataFrame:
     sources = kept(targets(sizes, most), "mix-sources")
     total = sources.agg(F.max("total")).first()[0] or 0
     block = max(1, -(-total // slots))
-    ranks = ranked_slots(sources, total // block).groupBy("source").agg((F.max("rank") + 1).alias("ranks"))
-    uses = sources.join(ranks.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    # as many words as the ranks' blocks hold, never above the cap
-    uses = uses.withColumn("ask", F.least(F.coalesce(F.col("ranks"), F.lit(0)) * block, F.col("source_size") * most).cast("long"))
-    uses = uses.select(F.col("source").alias("of"), "source_size", "target", "ask")
-    placed = running_totals(sizes, "source", "doc_id", "size", "begin", about=uses)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("ask") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("ask") - passes * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))
+    ranked = kept(ranked_slots(sources, total // block).select("slot", F.col("source").alias("s"), F.col("rank").cast("long").alias("rank")), "mix-slots")
+    ranks = ranked.groupBy("s").agg((F.max("rank") + 1).alias("ranks"))
+    about = sources.join(ranks, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", F.coalesce("ranks", F.lit(0)).alias("ranks"))
+    placed = kept(running_totals(sizes, "source", "doc_id", "size", "begin", about=about), "mix-placed")
+
+    # a document's stretch of words in each pass over its source, and the blocks it meets
+    whole = lambda c: F.call_function("div", c, F.lit(block).cast("long"))
+    times = placed.where("size > 0").select("source", "begin", "size", "ranks", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size") + F.col("begin"))).alias("at"))
+    met = times.withColumn("first", whole(F.col("at"))).where("first < ranks")
+    met = met.withColumn("block", F.explode(F.sequence("first", F.least(whole(F.col("at") + F.col("size") - 1), F.col("ranks") - 1))))
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    joined = met.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("rank")))
+    # where a document begins names it within its source
+    taken = joined.groupBy(F.col("source").alias("s"), F.col("begin").alias("b")).agg(F.sum(words).alias("taken"))
+    mine = F.col("source").eqNullSafe(F.col("s")) & (F.col("begin") == F.col("b")) & (F.col("size") > 0)
+    return placed.join(taken, mine, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, slots: int = 1 << 18, most: int = 3) -> DataFrame:
