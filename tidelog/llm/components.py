@@ -2,8 +2,9 @@
 
 Each round links every node's larger neighbours to the smallest node around it, then
 its smaller ones; after O(log n) rounds each component is a star around its smallest
-node. Rounds are equal joins and minima (partial before the shuffle); a written table
-cuts the lineage of each round. Edges within a partition are first replaced by a
+node. Rounds are equal joins and minima (partial before the shuffle); written tables
+cut the lineage, and as the minima come from one, the join that follows is a stage of its
+own, in which Spark can split the rows of a node with very many edges. Edges within a partition are first replaced by a
 forest of stars, so a task sends no more edges on than it has nodes.
 """
 
@@ -50,9 +51,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.union(e.select("v", "u"))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        m = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "minima")
         e = both.join(m, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        e = kept(e, "large-stars")
+        m = kept(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), "minima")
         e = e.join(m, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = kept(e, "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
