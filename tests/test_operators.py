@@ -413,3 +413,8 @@ def test_export_by_scope(spark, tmp_path):
     df = spark.createDataFrame([("t", "a", 1), ("t", "b", 2)], "tenant string, index string, template_id long")
     dictionary.export(df, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).count() == 2
+
+
+def test_given_ids_are_kept(spark):
+    rows = mining.mine_missing(logs(spark, [(0, 9, "user 1 in", "s"), (1, 9, "user 2 in", "s", None, 77)]), ["service"], ["observed_ns"]).collect()
+    assert {r.body: r.template_id for r in rows} == {"user 1 in": shape_hash_of("user <NUM> in"), "user 2 in": 77}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +93,6 @@ def export(entries: DataFrame, path: str) -> None:
 def lineage_links(old: DataFrame, new: DataFrame, least: float = 0.6) -> DataFrame:
     """For each new template the retired one of most similar text, if similar enough. Both
     are lists of one release's changes; pairs meet through a word they share."""
-    import difflib
-
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -156,8 +156,9 @@ _OUT = "template_id long, template string, lineage_id long, is_new boolean"
 def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: str = "body", config: MinerConfig = MinerConfig(), exact: bool = False) -> DataFrame:
     """Adds template_id and template (as after this line), lineage_id, is_new and params
     to each record. `order` are the columns of arrival, `scope` those that part miners.
-    Lines without tokens have nulls."""
+    Lines without tokens have nulls. Columns of these names that come in are replaced."""
     ship(logs.sparkSession)
+    logs = logs.drop("template_id", "template", "lineage_id", "is_new", "params")
     masked = mask_column(logs, body, "__tokens", "__raw").withColumn("__key", F.array_join("__tokens", "\x1f"))
     masked = masked.withColumn("__n", F.size("__tokens")).withColumn("__at", F.struct(*order))
     keys = [*scope, "__n"]
@@ -198,5 +199,10 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
         out = out.drop("__k", "__first", "__at", *(f"__s{i}" for i in range(len(scope))))
     wild = F.split("template", " ")
     kept = F.filter(F.arrays_zip(wild.alias("t"), F.col("__tokens").alias("m"), F.col("__raw").alias("r")), lambda x: (x["t"] == WILD) | (x["m"].contains("<") & x["m"].contains(">")))
-    keep = [c for c in logs.columns if c not in ("template_id",)]
-    return out.select(*keep, "template_id", "template", "lineage_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.transform(kept, lambda x: x["r"]).alias("params"))
+    return out.select(*logs.columns, "template_id", "template", "lineage_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.transform(kept, lambda x: x["r"]).alias("params"))
+
+
+def mine_missing(logs: DataFrame, scope: list[str], order: list[str], **how) -> DataFrame:
+    """mine_templates() for the records without a template_id; the others keep theirs."""
+    mined = mine_templates(logs.where("template_id is null"), scope, order, **how)
+    return mined.unionByName(logs.where("template_id is not null"), allowMissingColumns=True)
