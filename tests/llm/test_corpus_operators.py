@@ -235,6 +235,22 @@ def test_targets_and_mix(spark, seed):
     assert sorted(out) == sorted(mix(d.repartition(7)).collect())
 
 
+@pytest.mark.parametrize("slots", [1, 7, 64, 1 << 18])
+def test_sources_take_their_targets_exactly(spark, slots):
+    rows = [(i, "w " * (i % 90 + 1), f"big{i % 3}") for i in range(600)] + [(1000 + i, "a few words", f"small{i % 4}") for i in range(9)] + [(2000, "one", None)]
+    taken, want = defaultdict(int), {}
+    of = {i: s for i, _, s in rows}
+    for x in mix(docs(spark, rows), slots=slots).collect():
+        assert 0 <= x.taken <= 3 * x.size
+        taken[of[x.doc_id]] += x.taken
+        want[of[x.doc_id]] = int(x.target + 0.5)
+    assert taken == want and min(want.values()) > 0
+    words = defaultdict(int)
+    for x in mixed_documents(docs(spark, rows), slots=slots).collect():
+        words[x.source] += len(x.text.split())
+    assert words == want
+
+
 def test_mixed_documents_hold_what_is_taken(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(i % 13)), f"s{i % 4}" if i % 5 else None) for i in range(200)]
     d = docs(spark, rows)

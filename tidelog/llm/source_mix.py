@@ -12,7 +12,10 @@ hash order, repeated up to `most` times, are cut into blocks of equal words, and
 is joined to the slot of rank r; a block may end one pass and begin the next. What a
 document gives is the sum of its overlaps with joined blocks. `block` is the words of the
 table over `slots`, rounded up, and there are as many slots as whole blocks in all words,
-so the schedule keeps its size and its error, a few blocks a source, at any scale.
+so the schedule keeps its size at any scale. The slots are an order and not an amount: a
+source takes round(target) words exactly, however long a block is. Slots past its last
+block are left out, blocks without a slot come after the last slot, and the last block
+is cut.
 
 Defined results: a null text has size 0; null sources are one source, the last; sources
 without words have target 0; documents of size 0 take 0; null or repeated doc_ids pass
@@ -87,15 +90,20 @@ def _shares(docs: DataFrame, slots: int, most: int) -> DataFrame:
     block = max(1, -(-total // slots))
     ranked = kept(ranked_slots(sources, total // block).select("slot", F.col("source").alias("s"), F.col("rank").cast("long").alias("rank")), "mix-slots")
     ranks = ranked.groupBy("s").agg((F.max("rank") + 1).alias("ranks"))
-    about = sources.join(ranks, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", F.coalesce("ranks", F.lit(0)).alias("ranks"))
+    whole = lambda c: F.call_function("div", c, F.lit(block).cast("long"))
+    about = sources.withColumn("wanted", F.round("target").cast("long")).withColumn("blocks", whole(F.col("wanted") + block - 1))
+    # blocks that the schedule has no slot for follow its last slot
+    rest = about.join(ranks, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("ranks", F.coalesce("ranks", F.lit(0))).where("ranks < blocks")
+    rest = rest.select(F.lit(None).cast("long").alias("slot"), F.col("source").alias("s"), F.explode(F.sequence("ranks", F.col("blocks") - 1)).alias("rank"))
+    ranked = ranked.unionByName(rest)
+    about = about.select(F.col("source").alias("of"), "source_size", "target", "wanted", "blocks")
     placed = kept(running_totals(sizes, "source", "doc_id", "size", "begin", about=about), "mix-placed")
 
     # a document's stretch of words in each pass over its source, and the blocks it meets
-    whole = lambda c: F.call_function("div", c, F.lit(block).cast("long"))
-    times = placed.where("size > 0").select("source", "begin", "size", "ranks", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size") + F.col("begin"))).alias("at"))
-    met = times.withColumn("first", whole(F.col("at"))).where("first < ranks")
-    met = met.withColumn("block", F.explode(F.sequence("first", F.least(whole(F.col("at") + F.col("size") - 1), F.col("ranks") - 1))))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    times = placed.where("size > 0").select("source", "begin", "size", "wanted", "blocks", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size") + F.col("begin"))).alias("at"))
+    met = times.where("at < wanted").withColumn("first", whole(F.col("at")))
+    met = met.withColumn("block", F.explode(F.sequence("first", F.least(whole(F.col("at") + F.col("size") - 1), F.col("blocks") - 1))))
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block, F.col("wanted")) - F.greatest(F.col("at"), F.col("block") * block)
     joined = met.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("rank")))
     # where a document begins names it within its source
     taken = joined.groupBy(F.col("source").alias("s"), F.col("begin").alias("b")).agg(F.sum(words).alias("taken"))
