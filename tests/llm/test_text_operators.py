@@ -237,6 +237,54 @@ def test_licences(spark):
     assert license_scan(docs(spark).limit(0)).collect() == []
 
 
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0
+(the "License"); you may not use this file except
+in compliance with the License.""",
+}
+
+
+@pytest.mark.parametrize("leader,end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("", " ")])
+def test_wrapped_notices(spark, leader, end):
+    want = {i: name for i, name in enumerate(NOTICES)}
+    texts = ["Code.\n\n" + end.join((leader + line).rstrip() for line in t.split("\n")) + end + leader + "more" for t in NOTICES.values()]
+    rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licence for r in rows} == want
+
+
+def test_blank_lines_end_sentences(spark):
+    texts = ["Licensed under\n\nCC BY 4.0", "Licensed under\n # \n# CC BY 4.0", "Licensed under\n# CC BY 4.0", "Not Licensed under\nCC BY 4.0"]
+    rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licence for r in sorted(rows)] == [None, None, "CC-BY-4.0", None]
+
+
 def test_registered(spark, sf):
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())

@@ -1,14 +1,17 @@
 """License scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences at line ends and after .;:!? before white space; each is
-normalised (lower case, runs of anything but a-z and 0-9 become one space) and looked up
-in the table of known licence sentences. The identifiers found, in order, are matched
+A text is cut into sentences at blank lines and after .;:!? before white space; a line
+end alone may end a sentence or be a soft wrap inside one. Comment leaders (anything but
+a-z and 0-9 at the start of a line, which leaves a line of nothing else blank) are left
+out. Sentences are normalised (lower case, runs of anything but a-z and 0-9 become one
+space), and the known licence sentences are found that begin and end at a cut or a line
+end, the longest one where several begin. The identifiers found, in order, are matched
 against the ordered rules: a rule names a licence and the identifiers that must follow
 one another, with no other known sentence between them. Rules are tried in their order
 and a sentence counts for the first rule that takes it, so long grants come before the
 single lines that they begin with.
 
-Only sentences that hold an anchor are normalised; each known sentence holds one (checked
+Only texts that hold an anchor are normalised; each known sentence holds one (checked
 when the tables are made), so nothing is left out.
 
 Defined results: a null or empty text has no sentences found (counts 0, empty strings,
@@ -56,6 +59,13 @@ SENTENCES = {
     "r1": "All rights reserved",
 }
 
+#: The whole sentences of notices whose entry above is only a beginning.
+WHOLE = [
+    ("m3", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("l1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("l1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+]
+
 #: The ordered rules, licence and identifiers.
 RULES = [
     ("Apache-2.0", ["a2", "a3", "a4", "a5", "a6"]),
@@ -95,17 +105,38 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def _part(k: str, sentence: str) -> str:
+    parts = [normalised(p) for p in re.split(ENDS, sentence)]
+    parts = [p for p in parts if any(a in p for a in ANCHORS)]
+    if not parts:
+        raise ValueError(f"sentence {k} holds no anchor")
+    return max(parts, key=len)
+
+
 def known() -> dict[str, str]:
     """Normalised part of a sentence to identifier. A known sentence with an end inside
-    is known by its last anchored part, as texts are cut there too."""
-    out: dict[str, str] = {}
-    for k, s in SENTENCES.items():
-        parts = [normalised(p) for p in re.split(ENDS, s)]
-        parts = [p for p in parts if any(a in p for a in ANCHORS)]
-        if not parts:
-            raise ValueError(f"sentence {k} holds no anchor")
-        out[max(parts, key=len)] = k
-    return out
+    is known by its longest anchored part, as texts are cut there too."""
+    return {_part(k, s): k for k, s in SENTENCES.items()}
+
+
+def whole() -> dict[str, str]:
+    """known() and the whole sentences, longest first."""
+    table = known() | {_part(k, s): k for k, s in WHOLE}
+    return dict(sorted(table.items(), key=lambda kv: (-len(kv[0]), kv[0])))
+
+
+def marked(low: Column) -> Column:
+    """A text in lower case as normalised words, with H where a sentence ends and S where
+    a line ends; lower case has no such letters of its own."""
+    t = F.regexp_replace(low, r"(?:\r\n|\r|\n)[^a-z0-9\r\n]*", "\n")
+    t = F.regexp_replace(t, r"\n{2,}|[.;:!?](?=[ \t\n])", " H ")
+    t = F.regexp_replace(F.replace(t, F.lit("\n"), F.lit(" S ")), "[^a-z0-9HS]+", " ")
+    return F.concat(F.lit("H "), F.trim(t), F.lit(" H"))
+
+
+def _wrapped(words: str) -> str:
+    """A pattern for words between ends, with a line end between any two of them."""
+    return words.replace(" ", " (?:S )?")
 
 
 def _match(ids: Column) -> tuple[Column, list[Column]]:
@@ -127,11 +158,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     held = F.lit(False)
     for a in ANCHORS:
         held = held | low.contains(a)
-    table = known()
+    table = whole()
     ids = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    parts = F.filter(F.split(low, ENDS), lambda s: s.rlike("|".join(ANCHORS)))
-    clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(clean, lambda s: F.try_element_at(ids, s)), lambda s: s.isNotNull())
+    sentence = f"(?<=[HS] )(?:{'|'.join(map(_wrapped, table))})(?= [HS])"
+    lines = F.regexp_extract_all(marked(low), F.lit(sentence), F.lit(0))
+    found = F.transform(lines, lambda s: F.element_at(ids, F.replace(s, F.lit(" S "), F.lit(" "))))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(held, found).otherwise(F.array().cast("array<string>")).alias("found"))
     src = src.withColumn("sentence_ids", F.array_join("found", " "))
     some = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
