@@ -91,6 +91,39 @@ def test_mined_rows(spark, exact):
     assert len(rows) == 300
 
 
+def replayed(rows, config=mining.MinerConfig()):
+    """Event time to (template_id, template, is_new): every line in arrival order. The cap
+    holds per service and token count."""
+    ms, out = {}, {}
+    for x in sorted(rows, key=lambda x: x.observed_ns):
+        tokens = mask_line(x.body)[0]
+        m = ms.setdefault((x.service, len(tokens)), mining.Miner(config))
+        number, new = m.add(tokens)
+        out[x.observed_ns] = (m.ids.get(number), m.templates[number].text if number else None, new)
+    return out
+
+
+def test_repeats_carry_the_widened_template(spark):
+    line = "one two three four five six seven eight nine {} {}"
+    bodies = [line.format(a, b) for a, b in (("ten", "k"), ("ten", "k"), ("alpha", "k"), ("ten", "k"), ("ten", "m"), ("ten", "k"), ("alpha", "k"))]
+    df = logs(spark, [(i, 9, b, "s") for i, b in enumerate(bodies)]).drop("template_id")
+    rows = {x.observed_ns: x for x in mining.mine_templates(df, ["service"], ["observed_ns", "event_id"]).collect()}
+    assert [rows[t].template.split(" ")[9:] for t in sorted(rows)] == [["ten", "k"]] * 2 + [["<*>", "k"]] * 2 + [["<*>", "<*>"]] * 3
+    assert [rows[t].params for t in sorted(rows)] == [[], [], ["alpha"], ["ten"], ["ten", "m"], ["ten", "k"], ["alpha", "k"]]
+    assert {t: (x.template_id, x.template, x.is_new) for t, x in rows.items()} == replayed(rows.values())
+
+
+@pytest.mark.parametrize("seed,config", [(s, c) for s in range(3) for c in ({}, {"similarity": 0.5}, {"similarity": 0.5, "max_templates": 3}, {"similarity": 0.4, "max_children": 2}, {"similarity": 2.0})])
+def test_mining_equals_a_replay_of_every_line(spark, seed, config):
+    r = random.Random(seed)
+    words = [["a", "b", "c"][: r.randrange(1, 4)] for _ in range(6)]
+    bodies = [" ".join(r.choice(w) for w in words[: r.choice([4, 6, 6])]) for _ in range(400)] + ["", None]
+    df = logs(spark, [(i, 9, b, f"s{i % 3}" if i % 3 else None) for i, b in enumerate(bodies) if b is not None]).drop("template_id")
+    rows = mining.mine_templates(df, ["service"], ["observed_ns", "event_id"], config=mining.MinerConfig(**config)).collect()
+    assert len(rows) == 401
+    assert {x.observed_ns: (x.template_id, x.template, x.is_new) for x in rows} == replayed(rows, mining.MinerConfig(**config))
+
+
 def test_correlation_keys(spark):
     a = [("request_id", "Str", "r1")]
     rows = context.correlation_key(

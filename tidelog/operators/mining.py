@@ -6,18 +6,24 @@ comparable (fixed on both sides) tokens agree, and slots that differ become wild
 otherwise it is a template of its own.
 
 Templates only meet within one scope and one token count, so those are the groups, and
-lines go in arrival order. What a group sees are the distinct masked lines with their
-first arrival and number, aggregated before the shuffle: its size is the number of
-shapes, not of lines, however hot a count is. `exact=True` replays every line instead;
-the two differ only where a template widens between two arrivals of one masked line.
+lines go in arrival order. What a group sees first are the distinct masked lines with
+their first and last arrival and number, aggregated before the shuffle: its size is the
+number of shapes, not of lines, however hot a count is. Each line then has the text that
+its template had at its own arrival. That is what a replay of every line gives, as long
+as a repeat joins its first template again and so changes nothing: the way through the
+tree only changes where a node gets a child, and a template that agrees with a line in
+all comparable slots goes on doing so. A group in which a repeat might do otherwise (see
+`_settled`) is replayed line by line, in one ordered pass. `exact=False` spares all that:
+each masked line keeps what it got at its first arrival.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +80,7 @@ class Miner:
         self.shapes: dict[int, tuple[int, str]] = {}
         self.lineages: set[int] = set()
         self.next = 1
-        self.seen = self.untemplated = 0
+        self.seen = self.untemplated = self.changes = 0
         for t in known:
             self.next = max(self.next, t.number + 1)
             self._place(t)
@@ -84,6 +90,7 @@ class Miner:
     def _note(self, t: Template) -> int:
         text = t.text
         h = shape_hash_of(text)
+        self.changes += 1
         self.ids[t.number] = h
         self.shapes.setdefault(h, (t.lineage_id, text))  # the first lineage names a hash
         self.templates[t.number] = t
@@ -98,17 +105,21 @@ class Miner:
             node = node.children.setdefault(key, _Node())
         node.templates.append(t.number)
 
-    def _candidates(self, tokens: list[str]) -> list[int]:
+    def _leaf(self, tokens: list[str]) -> _Node | None:
         node = self.roots.get(len(tokens))
         if node is None:
-            return []
+            return None
         for token in tokens[: self.levels]:
             key = WILD if is_placeholder(token) else token
             below = node.children.get(key) or node.children.get(WILD)
             if below is None:
                 break
             node = below
-        return node.templates
+        return node
+
+    def _candidates(self, tokens: list[str]) -> list[int]:
+        node = self._leaf(tokens)
+        return node.templates if node else []
 
     def add(self, tokens: list[str], at_ns: int = 0, times: int = 1, last_ns: int | None = None) -> tuple[int | None, bool]:
         """The number of the template that the masked line joins, and whether it is new;
@@ -153,7 +164,56 @@ def params(template: list[str], tokens: list[str], raw: list[str]) -> list[str]:
 _OUT = "template_id long, template string, lineage_id long, is_new boolean"
 
 
-def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: str = "body", config: MinerConfig = MinerConfig(), exact: bool = False) -> DataFrame:
+def _settled(miner: Miner, shapes: Iterable[tuple[list[str], int, int | None, _Node | None]]) -> bool:
+    """Whether every repeat joins its first template, from the shapes (tokens, times, the
+    template's number, the leaf at its arrival) and the miner after the last of them."""
+    if miner.config.similarity > 1:
+        return False
+    for tokens, times, number, leaf in shapes:
+        if times == 1:
+            continue
+        if number is None or leaf is None or miner._leaf(tokens) is not leaf or number not in leaf.templates:
+            return False
+        later = leaf.templates[leaf.templates.index(number) + 1 :]
+        if any(similarity(miner.templates[k].tokens, tokens) == 1 for k in later):
+            return False
+    return True
+
+
+def _moment(values: Iterable) -> tuple:
+    return tuple((False, 0) if v is None or v != v else (True, v) for v in values)
+
+
+def _lines(keys: list[str], config: MinerConfig):
+    """The replay of every line, for batches in which a group's rows are together and in
+    order. Between two changes of a miner equal lines have equal results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, miner, seen, at = None, Miner(config), {}, 0
+        for batch in batches:
+            rows = []
+            for *now, key in zip(*(batch.column(k).to_pylist() for k in (*keys, "__key"))):
+                if now != group:
+                    group, miner, seen, at = now, Miner(config), {}, 0
+                row = seen.get(key)
+                if row is None:
+                    number, new = miner.add(key.split("\x1f"))
+                    t = miner.templates.get(number)
+                    row = (miner.ids[number], t.text, t.lineage_id, False) if t else (None, None, None, False)
+                    if miner.changes != at:
+                        seen, at = {}, miner.changes
+                    else:
+                        seen[key] = row
+                    row = (*row[:3], new)
+                rows.append(row)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "template_id", "template", "lineage_id", "is_new"])
+
+    return run
+
+
+def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: str = "body", config: MinerConfig = MinerConfig(), exact: bool = True) -> DataFrame:
     """Adds template_id and template (as after this line), lineage_id, is_new and params
     to each record. `order` are the columns of arrival, `scope` those that part miners.
     Lines without tokens have nulls. Columns of these names that come in are replaced."""
@@ -162,41 +222,64 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     masked = mask_column(logs, body, "__tokens", "__raw").withColumn("__key", F.array_join("__tokens", "\x1f"))
     masked = masked.withColumn("__n", F.size("__tokens")).withColumn("__at", F.struct(*order))
     keys = [*scope, "__n"]
-    types = dict(logs.dtypes)
-    head = ", ".join(f"`{s}` {types[s]}" for s in scope)
-    head = f"{head}, " if head else ""
-
-    def label(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable").reset_index(drop=True)
-        miner = Miner(config)
-        rows = []
-        for key, times in zip(pdf["__key"], pdf["__times"]):
-            number, new = miner.add(key.split("\x1f"), 0, int(times))
+    since, last, until = ([f"__{x}{i}" for i in range(len(order))] for x in "olu")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(since, kind="stable", na_position="first").reset_index(drop=True)
+        miner, shapes, states, rows = Miner(config), [], {}, []
+        for i, (key, times) in enumerate(zip(pdf["__key"], pdf["__times"])):
+            tokens = key.split("\x1f")
+            number, new = miner.add(tokens, 0, int(times))
             t = miner.templates.get(number)
-            rows.append((miner.ids[number], t.text, t.lineage_id, new) if t else (None, None, None, False))
-        return pdf.assign(**{n: pd.Series([r[i] for r in rows], dtype=d) for i, (n, d) in enumerate(zip(("template_id", "template", "lineage_id", "is_new"), ("Int64", object, "Int64", bool)))})
+            of = states.setdefault(number, [])
+            if t and (not of or of[-1][1] != miner.ids[number]):
+                of.append((i, miner.ids[number], t.text))
+            shapes.append((tokens, int(times), number, miner._leaf(tokens)))
+            rows.append((i, None, i, *(of[-1][1:] if t else (None, None)), t.lineage_id if t else None, new, len(of) - 1, number))
+        opened = exact and not _settled(miner, shapes)
+        if opened:
+            rows = [(i, None, i, None, None, None, False) for i in range(len(rows))]
+        elif exact:  # a row for each state of its template that a shape lives to see
+            first, end = ([_moment(v) for v in zip(*(pdf[c] for c in names))] for names in (since, last))
+            told = []
+            for i, _, _, h, text, lineage, new, k, number in rows:
+                begin = i
+                for then, h2, text2 in states[number][k + 1 :] if number else ():
+                    if first[then] > end[i]:
+                        break
+                    told.append((begin, then, i, h, text, lineage, new))
+                    begin, h, text, new = then, h2, text2, False
+                told.append((begin, None, i, h, text, lineage, new))
+            rows = told
+        out = pdf[[*keys, "__key"]].iloc[[r[2] for r in rows]].reset_index(drop=True)
+        for o, u in zip(since, until):
+            out[o] = pdf[o].iloc[[r[0] for r in rows]].reset_index(drop=True)
+            out[u] = pdf[o].iloc[[r[0] if r[1] is None else r[1] for r in rows]].reset_index(drop=True)
+        out["__ends"], out["__open"] = [r[1] is not None for r in rows], opened
+        for i, name, kind in ((3, "template_id", "Int64"), (4, "template", object), (5, "lineage_id", "Int64"), (6, "is_new", bool)):
+            out[name] = pd.Series([r[i] for r in rows], dtype=kind)
+        return out
 
-    flat = [f"__o{i}" for i in range(len(order))]
+    types = dict(logs.dtypes)
+    first_last = [*((f"__first.{o}", n) for o, n in zip(order, since)), *((f"__last.{o}", n) for o, n in zip(order, last))]
+    shapes = masked.where("__n > 0").groupBy(*keys, "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__times"))
+    shapes = shapes.select(*keys, "__key", "__times", *(F.col(c).alias(n) for c, n in first_last))
+    schema = ", ".join([*(f"`{s}` {types[s]}" for s in scope), "__n int, __key string", *(f"{n} {types[o]}, {u} {types[o]}" for o, n, u in zip(order, since, until)), f"__ends boolean, __open boolean, {_OUT}"])
+    named = shapes.groupBy(*keys).applyInPandas(label, schema)
+    struct = lambda names: F.struct(*(F.col(f).alias(o) for o, f in zip(order, names)))
+    named = named.select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(scope)), F.col("__key").alias("__k"), struct(since).alias("__since"), struct(until).alias("__until"), "__ends", "__open", "template_id", "template", "lineage_id", "is_new")
+    on = F.col("__key") == F.col("__k")
+    for i, s in enumerate(scope):
+        on = on & F.col(s).eqNullSafe(F.col(f"__s{i}"))
+    if exact:
+        on = on & (F.col("__open") | (F.col("__at") >= F.col("__since")) & (~F.col("__ends") | (F.col("__at") < F.col("__until"))))
+    out = masked.join(named, on, "left").withColumn("is_new", F.coalesce(F.col("is_new") & (F.col("__at") == F.col("__since")), F.lit(False)))
+    out = out.drop("__k", "__since", "__until", "__ends", *(f"__s{i}" for i in range(len(scope))))
     if exact:
-        lines = masked.where("__n > 0").withColumn("__times", F.lit(1)).select(*keys, "__key", "__times", F.monotonically_increasing_id().alias("__id"), *(F.col(f"__at.{o}").alias(f) for o, f in zip(order, flat)), *(c for c in masked.columns if c not in {*keys, "__key", "__id"}))
-        cols = [c for c in lines.columns if c != "__at"]
-        lines = lines.select(*cols)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", " + _OUT
-        out = lines.groupBy(*keys).applyInPandas(lambda pdf: label(pdf, flat), schema)
-        empty = masked.where("__n = 0")
-        out = out.unionByName(empty, allowMissingColumns=True).drop("__id", "__times", "__at", *flat)
-    else:
-        shapes = masked.where("__n > 0").groupBy(*keys, "__key").agg(F.min("__at").alias("__first"), F.count("*").alias("__times"))
-        shapes = shapes.select(*keys, "__key", "__times", *(F.col(f"__first.{o}").alias(f) for o, f in zip(order, flat)))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shapes.schema) + ", " + _OUT
-        named = shapes.groupBy(*keys).applyInPandas(lambda pdf: label(pdf, flat), schema)
-        first = F.struct(*(F.col(f).alias(o) for o, f in zip(order, flat)))
-        named = named.select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(scope)), F.col("__key").alias("__k"), first.alias("__first"), "template_id", "template", "lineage_id", "is_new")
-        on = F.col("__key") == F.col("__k")
-        for i, s in enumerate(scope):
-            on = on & F.col(s).eqNullSafe(F.col(f"__s{i}"))
-        out = masked.join(named, on, "left").withColumn("is_new", F.coalesce(F.col("is_new") & (F.col("__at") == F.col("__first")), F.lit(False)))
-        out = out.drop("__k", "__first", "__at", *(f"__s{i}" for i in range(len(scope))))
+        rows = out.where("__open").drop("__open", "__at", "template_id", "template", "lineage_id", "is_new")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + _OUT
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_lines(keys, config), schema)
+        out = out.where("__open is null or not __open").drop("__open", "__at").unionByName(rows)
     wild = F.split("template", " ")
     kept = F.filter(F.arrays_zip(wild.alias("t"), F.col("__tokens").alias("m"), F.col("__raw").alias("r")), lambda x: (x["t"] == WILD) | (x["m"].contains("<") & x["m"].contains(">")))
     return out.select(*logs.columns, "template_id", "template", "lineage_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.transform(kept, lambda x: x["r"]).alias("params"))
