@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -111,11 +111,65 @@ def test_signatures_estimate_similarity(cut):
     assert not sig[2].any()
 
 
-def test_common_counts():
-    r = np.random.default_rng(5)
-    sets = [np.unique(r.integers(0, 300, r.integers(0, 200)).astype(np.uint64)) for _ in range(30)]
-    got = dm.common(sets[:12], sets[12:], step=37)
-    assert (got == [[len(np.intersect1d(a, b)) for b in sets[12:]] for a in sets[:12]]).all()
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_similarities_are_exact(weighting):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(6)}" for _ in range(r.choice([1, 3, 40, 200]))) for _ in range(20)]
+    doc, h, n = dm.shingles(texts)
+    sets = [h[doc == i].tobytes() for i in range(20)]
+    many = [n[doc == i].astype(np.int32).tobytes() if weighting == "count" else None for i in range(20)]
+    counts = [Counter(shingle_list(t)) if weighting == "count" else Counter(set(shingle_list(t))) for t in texts]
+    want = [(counts[0] & c).total() / (counts[0] | c).total() for c in counts]
+    assert dm.similarities((sets[0], many[0]), sets, many) == pytest.approx(want)
+
+
+def shingle_list(text, width=5):
+    words = text.split()
+    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+
+
+def test_near_duplicates_by_count(spark):
+    texts = corpus(4, 25) + ["a b c d e f g " * 30, "a b c d e f g " * 33, "a b c d e f g " * 60, "a b c d e f g " * 31 + "z"] + ["", None, "x"]
+    counts = [Counter(shingle_list(t)) if (t or "").split() else None for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if counts[i] and counts[j] and (counts[i] & counts[j]).total() >= 0.8 * (counts[i] | counts[j]).total()]
+    want = union_find(len(texts), pairs)
+    got = {r.doc_id: r.class_id for r in dm.near_duplicates(docs(spark, [(i, t, None) for i, t in enumerate(texts)] + [(None, "x", "s")]), weighting="count").collect() if r.doc_id is not None}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_strangers_with_a_common_half_share_few_buckets(spark):
+    """600 documents of pairwise similarity 0.33, and a chain of copies among them."""
+    r = random.Random(8)
+    half = [f"h{r.randrange(9000)}" for _ in range(60)]
+    texts = [" ".join(half + [f"w{r.randrange(9000)}" for _ in range(60)]) for _ in range(600)]
+    texts += [t.rsplit(" ", 2)[0] for t in texts[::40]]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    d = docs(spark, rows)
+    keys = dm.sketches(d, 40, 6, "set").select("doc_id", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").agg(F.sum("m"), F.sum("m") / F.lit(600)).first()
+    assert shared[0] < 3 * len(rows) and keys.groupBy("key").count().agg(F.max("count")).first()[0] < 150
+    sets = [shingle_set(t) for t in texts]
+    want = union_find(len(texts), [(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8])
+    # tiny blocks: buckets of strangers are banded again, then tiled
+    got = {x.doc_id: x.class_id for x in dm.near_duplicates(d, block=2).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_large_group_of_near_copies(spark):
+    """Members link with the smallest one, or through others, or not at all."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(4000)}" for _ in range(100)]
+    texts = []
+    for i in range(250):
+        t = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4, 6])):
+            t[r.randrange(len(t))] = f"z{r.randrange(4000)}"
+        texts.append(" ".join(t))
+    sets = [shingle_set(t) for t in texts]
+    want = union_find(len(texts), [(i, j) for j in range(len(sets)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8])
+    for block in (256, 10):
+        got = {x.doc_id: x.class_id for x in dm.near_duplicates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def vectors(n=260, d=16, seed=3):

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from ..shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: set[str] = set()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _own = ""
 
 
@@ -57,7 +59,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `kept` returned and no later job reads."""
+    for df in frames:
+        path = _paths.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+            _made.discard(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

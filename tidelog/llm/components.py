@@ -4,8 +4,9 @@ Each round links every node's larger neighbours to the smallest node around it,
 its smaller ones; after O(log n) rounds each component is a star around its smallest
 node. Rounds are equal joins and minima (partial before the shuffle); written tables
 cut the lineage, and as the minima come from one, the join that follows is a stage of its
-own, in which Spark can split the rows of a node with very many edges. Edges within a partition are first replaced by a
-forest of stars, so a task sends no more edges on than it has nodes.
+own, in which Spark can split the rows of a node with very many edges. Edges of a partition are first replaced by
+forests of stars, one for each `RUN` edges, so few edges of a hub reach the first shuffle. A round's tables are deleted when the
+next round's are written.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept
+from .common import arrow_map, discard, kept
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,11 +37,29 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+#: Edges held at a time when a partition is reduced to forests.
+RUN = 200_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        node, root = roots(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+        return node[node != root], root[node != root]
+
     for b in batches:
-        node, root = roots(b.column(0).to_numpy(), b.column(1).to_numpy())
-        off = node != root
-        yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(root[off])], ["u", "v"])
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n >= RUN:
+            held = [reduced()]
+            n = len(held[0][0])
+            if n >= RUN // 2:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["u", "v"])
+                held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, reduced())), ["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,12 +70,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.union(e.select("v", "u"))
-        m = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "minima")
-        e = both.join(m, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = kept(e, "large-stars")
-        m = kept(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), "minima")
-        e = e.join(m, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = kept(e, "stars")
+        low = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "minima")
+        large = kept(both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        discard(e, low)
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"), "minima")
+        small = large.join(low, F.col("u") == F.col("n")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = kept(small.select("x.u", "x.v").where("u <> v").distinct(), "stars")
+        discard(large, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break
