@@ -181,7 +181,7 @@ def vectors(n=260, d=16, seed=3):
     return x, r.integers(0, 3, n)
 
 
-@pytest.mark.parametrize("block,grid", [(512, 2), (7, 1), (20, 3)])
+@pytest.mark.parametrize("block,grid", [(512, 2), (7, 1), (20, 3), (20, 9), (4096, None)])
 def test_near_vectors_against_all_pairs(spark, block, grid):
     x, label = vectors()
     norm = np.linalg.norm(x, axis=1)
