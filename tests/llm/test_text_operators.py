@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.llm import jpeg_media, license_rules, queries, warc
 from tidelog.llm.license_rules import license_scan
@@ -214,6 +215,84 @@ def test_arc_and_warc_round_trips(items, version):
         assert head["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r.payload).digest()).decode()
 
 
+def served(body, head=b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\n"):
+    return head + body
+
+
+def test_records_of_servers_and_others():
+    r = warc.ArcRecord("http://a/", "1.2.3.4", "20010203040506", "text/html", served(b"HTTP/1.1 is\r\n\r\nthe text"))
+    ((head, block),) = warc.read_warc(warc.warc_record(r))
+    assert head["WARC-Type"] == "response" and block == r.payload and head["Content-Type"] == "application/http; msgtype=response"
+    assert base64.b32decode(head["WARC-Payload-Digest"][5:]) == hashlib.sha1(b"HTTP/1.1 is\r\n\r\nthe text").digest()
+    assert base64.b32decode(head["WARC-Block-Digest"][5:]) == hashlib.sha1(r.payload).digest()
+    ((head, block),) = warc.read_warc(warc.warc_record(r, refers_to={"WARC-Refers-To": "<urn:uuid:x>"}))
+    assert head["WARC-Type"] == "revisit" and block == served(b"") and head["WARC-Refers-To"] == "<urn:uuid:x>"
+    ((head, block),) = warc.read_warc(warc.warc_record(r._replace(url="dns:a", content_type="text/dns", payload=b"1.2.3.4")))
+    assert head["WARC-Type"] == "resource" and block == b"1.2.3.4" and head["Content-Type"] == "text/dns"
+
+
+@pytest.mark.parametrize("piece", [7, 1000, 1 << 20])
+def test_members_are_read_in_pieces(piece):
+    r = random.Random(piece)
+    records = [warc.ArcRecord(f"http://a/{i}", "0.0.0.0", "2001", "text/html", served(r.randbytes(r.choice([0, 1, 40, 5000, 70_000])))) for i in range(40)]
+    raw = b"".join(warc.member(warc.warc_record(x)) + warc.EMPTY_MEMBER * (i % 3) for i, x in enumerate(records))
+    got = list(warc.read_members(raw, max(piece, 100)))
+    assert [h["WARC-Target-URI"] for h, *_ in got] == [x.url for x in records]
+    assert [p for *_, p in got] == [hashlib.sha1(x.payload[len(served(b"")) :]).hexdigest() for x in records]
+    assert [b for _, _, b, _ in got] == [hashlib.sha1(x.payload).hexdigest() for x in records]
+    for bad in (raw[:-40], raw[: len(raw) // 2], raw[:-5]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.read_members(bad))
+
+
+def test_repeated_urls_have_ids_of_their_own(spark, tmp_path):
+    import gzip
+
+    text = "<p>some page</p>" * 100
+    rows = [(i, f"http://h/{i % 2}", text if i % 3 else f"{text}{i}") for i in range(30)] + [(7, "http://h/1", text), (40, "http://h/0", "small"), (40, "http://h/0", "small"), (None, None, text)]
+    path = str(tmp_path / "archives")
+    got = warc.warc_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, chunk=2000, per_file=2).collect()
+    assert len(got) == len(rows) == len({r.record_id for r in got})
+    ids = {r.record_id: r for r in got}
+    again = [r for r in got if r.record_type == "revisit"]
+    assert again and all(ids[r.refers_to_record].page_id == r.refers_to == 29 and ids[r.refers_to_record].record_type == "response" for r in again)
+    files = sorted(tmp_path.glob("archives/part-*"))
+    assert len(files) > 3 and max(f.stat().st_size for f in files) < 10_000
+    names = [h["WARC-Record-ID"] for f in files for h, _ in warc.read_warc(gzip.decompress(f.read_bytes()))]
+    assert sorted(names) == sorted(ids)
+
+
+def test_repeated_response_rows(spark):
+    text = "y" * 2000
+    got = warc.warc_archive(spark.createDataFrame([(5, "u", text), (5, "u", text), (2, "u", text)], "page_id long, url string, html string")).collect()
+    assert len({r.record_id for r in got}) == 3
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.refers_to_record) for r in got) == [(2, "revisit", 5, None), (5, "response", None, None), (5, "response", None, None)]
+
+
+def test_large_payloads(spark):
+    """200 MB in all, through batches of a few members."""
+    big = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://big/").alias("url"), F.concat(F.repeat(F.lit("0123456789 abcdefghijklm "), 200_000), F.col("id").cast("string")).alias("html"))
+    got = warc.warc_archive(big).collect()
+    assert sum(r.payload_bytes for r in got) > 190_000_000 and {r.record_type for r in got} == {"response"} and len({r.payload_digest for r in got}) == 40
+
+
+@pytest.mark.parametrize("version,packed", [(1, False), (2, False), (1, True), (2, True)])
+def test_legacy_archives_are_converted(spark, tmp_path, version, packed):
+    import gzip
+
+    records = [warc.ArcRecord(f"http://a/{i}", "1.2.3.4", "20010203040506", "text/html; charset=x", served(b"x" * i)) for i in range(9)]
+    raw = warc.write_arc(records, version)
+    if packed:  # a member each for the version block and every record
+        ends = [len(warc.write_arc(records[:k], version)) for k in range(len(records) + 1)]
+        raw = b"".join(gzip.compress(raw[a:b]) for a, b in zip([0, *ends], ends))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "old.arc").write_bytes(raw)
+    rows = warc.convert_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
+    assert sorted((r.target_uri, r.payload_bytes, r.payload_digest, r.record_type, r.warc_date) for r in rows) == [
+        (x.url, i, hashlib.sha1(b"x" * i).hexdigest(), "response", "2001-02-03T04:05:06Z") for i, x in enumerate(records)
+    ]
+
+
 def test_broken_archives():
     good = warc.write_arc([warc.ArcRecord("u", "0.0.0.0", "2020", "text/html", b"abc")], 2)
     for bad in (good[:-3], good.replace(b"filedesc", b"xiledesc"), good.replace(b"abc", b"abd")):
@@ -223,12 +302,13 @@ def test_broken_archives():
 
 def test_licence_tables():
     table = license_rules.known()
-    assert len(table) == len(license_rules.SENTENCES)
+    assert set(table.values()) == set(license_rules.SENTENCES) and max(len(k.split()) for k in table) < 96
+    assert len({name for name, _ in license_rules.RULES}) > 30
     assert {i for _, seq in license_rules.RULES for i in seq} <= set(license_rules.SENTENCES)
 
 
 def test_licences(spark):
-    s = license_rules.SENTENCES
+    s = {k: forms[0] for k, forms in license_rules.SENTENCES.items()}
     texts = [f"Intro.\n{s['m3']}.\nMore text. {s['m4']}.", f"{s['m3']}; {s['a1'].upper()}.", s["b1"] + ".\n" + s["b2"] + ".", "licence of nothing", None, "", s["c1"] + "  \n" + s["c1"], LONG + "\n" + s["g1"] + "."]
     rows = {r.doc_id: r for r in license_scan(spark.createDataFrame([(i, t, "x", "y", 1, 7, "x", "y", 5, 6, 8, 9) for i, t in enumerate(texts)], DOCS)).collect()}
     assert [rows[i].licences for i in range(8)] == ["MIT", "Apache-2.0,MIT", "BSD-2-Clause", "", "", "", "CC-BY-NC-4.0", "GPL-3.0"]
@@ -237,8 +317,11 @@ def test_licences(spark):
     assert license_scan(docs(spark).limit(0)).collect() == []
 
 
+#: Notices as they are distributed.
 NOTICES = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+    "MIT": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -246,37 +329,194 @@ copies of the Software, and to permit persons to whom the Software is
 furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD-2-Clause": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
+
 1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer.""",
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "BSD-4-Clause": """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement:
+   This product includes software developed by the organization.
+
+4. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify it
+under the terms and conditions of the GNU General Public License,
+version 2, as published by the Free Software Foundation.""",
     "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version.
 
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
 You should have received a copy of the GNU General Public License
 along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
-    "LGPL": """This library is free software; you can redistribute it and/or
+    "GPL-2.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
 modify it under the terms of the GNU Lesser General Public
 License as published by the Free Software Foundation; either
-version 2.1 of the License, or (at your option) any later version.""",
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "LGPL-2.1": """                  GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 2.1, February 1999
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0
-(the "License"); you may not use this file except
-in compliance with the License.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0""",
 }
 
 
 @pytest.mark.parametrize("leader,end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("", " ")])
 def test_wrapped_notices(spark, leader, end):
-    want = {i: name for i, name in enumerate(NOTICES)}
-    texts = ["Code.\n\n" + end.join((leader + line).rstrip() for line in t.split("\n")) + end + leader + "more" for t in NOTICES.values()]
+    texts = ["Code.\n\n" + end.join((leader + line).rstrip() for line in t.split("\n")) + end + leader.rstrip() + end + leader + "more" for t in NOTICES.values()]
+    if end == " ":  # a line a paragraph
+        texts = ["\n\n".join(" ".join(x.split()) for x in t.split("\n\n")) for t in NOTICES.values()]
     rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.licence for r in rows} == want
+    assert {list(NOTICES)[r.doc_id]: r.licence for r in rows} == {k: k for k in NOTICES}
+
+
+def test_licences_as_the_sql_has_them(spark):
+    import duckdb
+
+    r = random.Random(6)
+    lines = [f for forms in license_rules.SENTENCES.values() for f in forms]
+    texts: list = [None, "", "licence", "\n\n", "a) permi. b"]
+    for t in NOTICES.values():
+        words = t.split()
+        cut = sorted(r.sample(range(len(words)), min(len(words), 6)))
+        texts += [t, "# " + t.replace("\n", "\n# "), "\n".join(" ".join(words[a:b]) for a, b in zip([0, *cut], [*cut, None]))]
+    for _ in range(60):
+        chosen = [r.choice(lines) for _ in range(4)]
+        texts.append("".join(s + r.choice([".\n", "\n", "; ", "\r\n\r\n", "!\t", ".\n1. ", "\n * ", " "]) for s in chosen))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    from tidelog.llm.oracles import license_sql
+
+    want = sorted(con.execute(f"select doc_id, n_sentences, sentence_ids, licences, licence from ({license_sql()})").fetchall())
+    assert sorted(tuple(x) for x in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
 def test_blank_lines_end_sentences(spark):
