@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from .license_rules import ANCHORS, RULES, known
+import re
+
+from .license_rules import ANCHORS, RULES, SENTENCES
 
 
 def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def license_sql() -> str:
-    table = known()
-    keys, ids = ", ".join(map(_text, table)), ", ".join(map(_text, table.values()))
+def license_sql(longest: int = 96) -> str:
+    """Sentences as runs of at most `longest` lines between cuts, looked up as a whole;
+    from the first line on, the longest run that is known, then on after it. The tables
+    are those of the module, what is made of texts is not."""
+    pairs = [(" ".join(w for w in re.split(r"\W|_", s.lower()) if w), k) for k, forms in SENTENCES.items() for s in forms]
+    keys, ids = ", ".join(_text(s) for s, _ in pairs), ", ".join(_text(k) for _, k in pairs)
     steps = [
-        f"""p AS (SELECT doc_id, list_filter(list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '([.;:!?])[ \\t]+', '\\1\n', 'g'), '[\\r\\n]+'),
-            lambda x: regexp_matches(x, {_text("|".join(ANCHORS))})), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: list_contains([{keys}], x)) AS f FROM documents)""",
-        f"q AS (SELECT doc_id, list_transform(f, lambda x: list_extract([{ids}], list_position([{keys}], x))) AS f FROM p)",
-        "r0 AS (SELECT doc_id, len(f) AS n_sentences, coalesce(array_to_string(f, ' '), '') AS sentence_ids, ' ' || coalesce(array_to_string(f, ' '), '') || ' ' AS left_, []::VARCHAR[] AS names FROM q)",
+        f"a AS (SELECT doc_id, replace(replace(lower(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE regexp_matches(lower(text), {_text('|'.join(ANCHORS))}))",
+        # lines without leaders; one that is empty then, after the first, ends a sentence
+        "b AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE regexp_replace(regexp_replace(x, '^[^a-z0-9]+', ''), '^((rem|dnl)[ \t]+|([0-9]{1,2}|[a-z])[.)][ \t]+)', '') END) AS l FROM a)",
+        "c AS (SELECT doc_id, list_transform(l, lambda x, i: CASE WHEN i > 1 AND i < len(l) AND x = '' THEN '@' ELSE regexp_replace(regexp_replace(x || ' ', '[.;:!?]([ \t])', '@\\1', 'g'), '[^a-z0-9@]+', ' ', 'g') END) AS l FROM (SELECT doc_id, list_transform(l, lambda x: replace(x, '@', ' ')) AS l FROM b))",
+        "d AS (SELECT doc_id, unnest(string_split(array_to_string(l, '#'), '@')) AS s, generate_subscripts(string_split(array_to_string(l, '#'), '@'), 1) AS n FROM c)",
+        f"e AS (SELECT doc_id, n, list_transform(string_split(s, '#'), lambda x: trim(x)) AS l FROM d WHERE regexp_matches(replace(s, '#', ' '), {_text('|'.join(ANCHORS))}))",
+        f"""f AS (SELECT doc_id, n, i, j, array_to_string(list_filter(l[i:j], lambda x: x <> ''), ' ') AS w FROM (SELECT doc_id, n, l, i, unnest(range(i, least(len(l), i + {longest - 1}) + 1)) AS j FROM (SELECT doc_id, n, l, unnest(range(1, len(l) + 1)) AS i FROM e)) WHERE l[i] <> '' AND l[j] <> '')""",
+        f"g AS (SELECT doc_id, n, i, j, list_extract([{ids}], list_position([{keys}], w)) AS id FROM f WHERE w IN ({keys}))",
+        "h AS (SELECT doc_id, list({'n': n, 'i': i, 'j': j, 'ids': id} ORDER BY n, i, j DESC) AS found FROM g GROUP BY doc_id)",
+        "k AS (SELECT doc_id, list_reduce(found, lambda x, y: CASE WHEN y.n > x.n OR y.i > x.j THEN {'n': y.n, 'i': y.i, 'j': y.j, 'ids': x.ids || ' ' || y.ids} ELSE x END).ids AS ids FROM h)",
+        "r0 AS (SELECT doc_id, coalesce(len(string_split(ids, ' ')), 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, ' ' || coalesce(ids, '') || ' ' AS left_, []::VARCHAR[] AS names FROM documents LEFT JOIN k USING (doc_id))",
     ]
     for k, (name, seq) in enumerate(RULES):
         want = _text(" " + "  ".join(seq) + " ")
