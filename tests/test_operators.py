@@ -178,11 +178,13 @@ def test_dedupe_and_budgets(spark):
     for i in range(400):
         t += r.choice([0.2, 1, 4, 30])
         service, template, flow = r.choice([None, "a", "b"]), r.choice([None, 1, 2, 3]), r.randrange(25)
-        rows.append((i.to_bytes(16, "big"), int(t * S), service, template, flow))
-        want.append((int(t * S), flow, service, template))
-    df = spark.createDataFrame(rows, "event_id binary, observed_ns long, service string, template_id long, flow_hash long")
+        origin = r.choice([None, "n1", "n2"])
+        rows.append((i.to_bytes(16, "big"), int(t * S), service, template, flow, origin))
+        want.append((origin, (int(t * S), flow, service, template)))
+    df = spark.createDataFrame(rows, "event_id binary, observed_ns long, service string, template_id long, flow_hash long, origin string")
     got = context.captured(df).orderBy("event_id").collect()
-    assert [(x.status, x.suppressed) for x in got] == naive_capture(want)
+    for node in (None, "n1", "n2"):  # each has budgets of its own
+        assert [(x.status, x.suppressed) for x in got if x.origin == node] == naive_capture([w for o, w in want if o == node])
     none = context.captured(df.withColumn("flow_hash", F.lit(None).cast("long"))).collect()
     assert {x.status for x in none} == {"no_context"} and len(none) == 400
 
@@ -274,6 +276,37 @@ def test_findings_of_a_storm(spark):
     assert ("new_pair", 2) not in found
 
 
+def test_sessions(spark):
+    r = random.Random(9)
+    rows, t = [], 0
+    for i in range(500):
+        t += r.choice([0, 1, 30, 59, 60, 61, 4000]) * S
+        rows.append((i.to_bytes(16, "big"), t, r.choice(["a", None])))
+    got = sorted((x.event_id, x.session) for x in context.sessions(spark.createDataFrame(rows, "event_id binary, observed_ns long, o string"), 60 * S, "o").collect())
+    want, last, number = [], {}, {}
+    for id_, t, o in rows:
+        if o not in last or t - last[o] >= 60 * S:
+            number[o] = number.get(o, 0) + 1
+        last[o] = t
+        want.append((id_, number[o]))
+    assert got == want
+
+
+def test_detectors_start_anew_after_a_stall(spark):
+    """As if ticks came with records: an hour without any says nothing about the traffic."""
+    steady = [(t / 5, 9, "x", "api", None, 1) for t in range(1000)]
+    later = [(200 + 3700 + t / 5, 9, "x", "web", None, 2) for t in range(1000)]
+    kinds = lambda rows: {(x.kind, x.service) for x in signals.bucket_findings(logs(spark, rows)).collect()}
+    assert kinds(steady + later) == set()
+    assert ("silence", "api") in kinds(steady + [(r[0] - 3500, *r[1:]) for r in later])
+
+
+def test_a_hot_service_is_dealt_by_template(spark):
+    rows = [(t / 20, 9, f"step {t}", "api" if t % 10 else "web", None, t % 40) for t in range(4000)]
+    counts = signals.template_counts(logs(spark, rows)).where("service = 'api'").groupBy("template_id").count().collect()
+    assert max(r["count"] for r in counts) <= 0.2 * sum(r["count"] for r in counts)
+
+
 def test_firsts(spark):
     rows = [(0, 9, "a", "x", 1, 1), (10, 9, "b", "x", 1, 2), (100, 9, "a", "y", 2, 1), (110, 9, "b", "x", 3, 2), (120, 9, "a", "x", 3, 1), (130, 9, "c", "x", 3, 3), (140, 9, "a", "x", 4, 1), (150, 9, "a", "x", 4, 1)]
     got = sorted((r.kind, r.service, r.template_id, r.observed_ns // S) for r in signals.first_findings(logs(spark, rows)).collect())
@@ -296,7 +329,7 @@ def test_planner(spark):
 
 
 def test_quiet_periods():
-    pdf = pd.DataFrame({"at_ns": [0, 10 * S, 20 * S, 40 * S, 400 * S], "kind": ["rate", "rate", "flow", "rate", "rate"], "boost": [True, True, False, True, True], "template_id": [0] * 5})
+    pdf = pd.DataFrame({"at_ns": [0, 10 * S, 20 * S, 40 * S, 400 * S], "kind": ["rate", "rate", "flow", "rate", "rate"], "boost": [True, True, False, True, True], "template_id": [0] * 5, "detail": [""] * 5})
     out = planner._triggers(pdf)
     assert list(out.said) == [True, False, True, True, True] and list(out.new_boost) == [True, False, False, False, True]
 

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import with_shape_hash
 from ..functions.severity import ERROR
-from ..functions.times import floor_ns
+from ..functions.times import HOUR_NS, floor_ns
 from ..sources.records import first_value
 
 SECOND = 1_000_000_000
@@ -36,16 +37,17 @@ def correlation_key(logs: DataFrame) -> DataFrame:
 def context_lines(logs: DataFrame, trigger: int = ERROR, age_ns: int = AGE_NS, lines: int = LINES) -> DataFrame:
     """(error, line) pairs: lines of the error's key that arrived before it, at most
     age_ns earlier, the newest `lines`; not the error itself, nor a line of its body and
-    time. Keys meet in time cells of age_ns, so a key that many rows share is dealt out."""
-    keyed = correlation_key(logs).withColumn("cell", floor_ns(F.col("observed_ns"), age_ns))
-    line = keyed.select("key_tier", "key", "cell", F.col("observed_ns").alias("l_observed"), F.col("event_id").alias("l_id"), F.col("severity").alias("l_severity"), F.col("template_id").alias("l_template"), F.col("body").alias("l_body"))
+    time. Keys meet in time cells of age_ns, so a key that many rows share is dealt out.
+    Bodies are compared by two hashes, and only those of the lines that stay travel on."""
+    keyed = correlation_key(logs).withColumn("cell", floor_ns(F.col("observed_ns"), age_ns)).withColumn("b1", F.xxhash64("body")).withColumn("b2", F.xxhash64(F.lit(1), "body"))
+    line = keyed.select(F.xxhash64("key_tier", "key").alias("k"), "key_tier", "key", "cell", F.col("observed_ns").alias("l_observed"), F.col("event_id").alias("l_id"), F.col("severity").alias("l_severity"), F.col("template_id").alias("l_template"), F.col("body").alias("l_body"), F.col("b1").alias("l_b1"), F.col("b2").alias("l_b2"))
     error = keyed.where(F.col("severity") >= trigger).select(
-        F.col("key_tier").alias("e_tier"), F.col("key").alias("e_key"), F.explode(F.array("cell", F.col("cell") - age_ns)).alias("e_cell"), "event_id", "observed_ns", "body"
+        F.xxhash64("key_tier", "key").alias("e_k"), F.col("key_tier").alias("e_tier"), F.col("key").alias("e_key"), F.explode(F.array("cell", F.col("cell") - age_ns)).alias("e_cell"), "event_id", "observed_ns", "b1", "b2"
     )
-    on = (F.col("key_tier") == F.col("e_tier")) & (F.col("key") == F.col("e_key")) & (F.col("cell") == F.col("e_cell"))
+    on = (F.col("k") == F.col("e_k")) & (F.col("key_tier") == F.col("e_tier")) & (F.col("key") == F.col("e_key")) & (F.col("cell") == F.col("e_cell"))
     before = F.struct("l_observed", "l_id") < F.struct("observed_ns", "event_id")
     near = F.col("l_observed") >= F.col("observed_ns") - age_ns
-    same = (F.col("l_body") == F.col("body")) & (F.col("l_observed") == F.col("observed_ns"))
+    same = (F.col("l_b1") == F.col("b1")) & (F.col("l_b2") == F.col("b2")) & (F.col("l_observed") == F.col("observed_ns"))
     hit = line.join(error, on).where(before & near & ~same)
     newest = Window.partitionBy("event_id").orderBy(F.desc("l_observed"), F.desc("l_id"))
     return hit.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= lines).select("event_id", "rank", "l_observed", "l_id", "l_severity", "l_template", "l_body")
@@ -60,8 +62,8 @@ def windows(logs: DataFrame, trigger: int = ERROR, age_ns: int = AGE_NS, lines:
     out = errors.join(got.withColumnRenamed("event_id", "c_id"), F.col("event_id") == F.col("c_id"), "left").drop("c_id")
     out = out.withColumn("context", F.coalesce("context", F.array().cast(got.schema["context"].dataType)))
     path = F.transform("context", lambda c: F.coalesce(c["template_id"].cast("string"), F.lit("-")))
-    flow = F.xxhash64(F.array_join(path, ","), F.coalesce(F.col("template_id").cast("string"), F.lit("-")))
-    return out.withColumn("flow_hash", F.when(F.size("context") > 0, flow))
+    flow = F.concat(F.array_join(path, ","), F.lit("|"), F.coalesce(F.col("template_id").cast("string"), F.lit("-")))
+    return with_shape_hash(out.withColumn("__flow", F.when(F.size("context") > 0, flow)), "__flow", "flow_hash").drop("__flow")
 
 
 def _dedupe(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +82,7 @@ def _dedupe(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(status=status, suppressed=folded)
 
 
-def _budget(pdf: pd.DataFrame) -> pd.DataFrame:
+def _budget(pdf: pd.DataFrame, ceiling: int = WINDOWS, per_shape: int = WINDOWS_PER_SHAPE) -> pd.DataFrame:
     """In order over what dedupe left: a ceiling per minute, then one per shape. Minutes
     start with the first window after the minute before has ended."""
     pdf = pdf.sort_values(["observed_ns", "event_id"], kind="stable")
@@ -88,14 +90,14 @@ def _budget(pdf: pd.DataFrame) -> pd.DataFrame:
     for now, service, template in zip(pdf.observed_ns, pdf.service, pdf.template_id):
         if start is None or now - start >= MINUTE:
             start, used = now, 0
-        if used >= WINDOWS:
+        if used >= ceiling:
             status.append("rate_limited")
             continue
         key = ("" if pd.isna(service) else service, 0 if pd.isna(template) else int(template))
         begin, n = shapes.get(key, (now, 0))
         if now - begin >= MINUTE:
             begin, n = now, 0
-        if n >= WINDOWS_PER_SHAPE:
+        if n >= per_shape:
             shapes[key] = (begin, n)
             status.append("rate_limited")
             continue
@@ -105,14 +107,43 @@ def _budget(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(status=status)
 
 
-def captured(with_windows: DataFrame) -> DataFrame:
+def sessions(rows: DataFrame, gap_ns: int, *of: str) -> DataFrame:
+    """Adds `session`, a number that rises within `of` where no row came for gap_ns. A row's
+    predecessor is looked up in its own time cell and the one before; sums are taken by
+    hours first, so no task orders all rows of a group."""
+    cell = floor_ns(F.col("observed_ns"), gap_ns)
+    rows = rows.withColumn("__cell", cell)
+    ends = rows.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(of)), (F.col("__cell") + gap_ns).alias("__next")).agg(F.max("observed_ns").alias("__end"))
+    same = F.col("__cell") == F.col("__next")
+    for i, c in enumerate(of):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inside = Window.partitionBy(*of, "__cell").orderBy("observed_ns", "event_id")
+    out = rows.join(ends, same, "left").withColumn("__before", F.coalesce(F.lag("observed_ns").over(inside), "__end"))
+    begins = F.coalesce(F.col("observed_ns") - F.col("__before") >= gap_ns, F.lit(True)).cast("int")
+    out = out.drop("__end", "__next", *(f"__g{i}" for i in range(len(of)))).withColumn("__begins", begins).withColumn("__hour", floor_ns(F.col("observed_ns"), HOUR_NS))
+    per = out.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(of)), F.col("__hour").alias("__h")).agg(F.sum("__begins").alias("__n"))
+    earlier = Window.partitionBy(*(f"__g{i}" for i in range(len(of)))).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    same = F.col("__hour") == F.col("__h")
+    for i, c in enumerate(of):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    run = Window.partitionBy(*of, "__hour").orderBy("observed_ns", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.join(per, same).withColumn("session", F.col("__base") + F.sum("__begins").over(run))
+    return out.drop("__cell", "__before", "__begins", "__hour", "__h", "__n", "__base", *(f"__g{i}" for i in range(len(of))))
+
+
+def captured(with_windows: DataFrame, ceiling: int = WINDOWS, per_shape: int = WINDOWS_PER_SHAPE) -> DataFrame:
     """Adds to windows(): status (window, no_context, duplicate_flow, rate_limited) and
-    suppressed. Flows are independent until the budgets; those see only the windows that
-    dedupe lets through, in one pass of small rows. The error itself is never dropped."""
-    slim = with_windows.where("flow_hash is not null").select("event_id", "observed_ns", "service", "template_id", "flow_hash")
-    fields = "event_id binary, observed_ns long, service string, template_id long, flow_hash long"
-    deduped = slim.groupBy("flow_hash").applyInPandas(_dedupe, f"{fields}, status string, suppressed long")
-    opened = deduped.where("status = 'open'").groupBy(F.lit("all").alias("__all")).applyInPandas(_budget, f"{fields}, status string, suppressed long")
+    suppressed. Each origin dedupes and has its budgets on its own. Flows are independent
+    until the budgets; those see only the windows that dedupe lets through, and start anew
+    after a minute without any, so such stretches are groups of their own. The error itself
+    is never dropped."""
+    slim = with_windows.where("flow_hash is not null").select("event_id", "observed_ns", "service", "template_id", "flow_hash", "origin")
+    fields = "event_id binary, observed_ns long, service string, template_id long, flow_hash long, origin string"
+    deduped = slim.groupBy("origin", "flow_hash").applyInPandas(_dedupe, f"{fields}, status string, suppressed long")
+    opened = sessions(deduped.where("status = 'open'"), MINUTE, "origin")
+    budget = lambda pdf: _budget(pdf.drop(columns="session"), ceiling, per_shape)
+    opened = opened.groupBy("origin", "session").applyInPandas(budget, f"{fields}, status string, suppressed long")
     decided = deduped.where("status <> 'open'").unionByName(opened).select(F.col("event_id").alias("d_id"), "status", F.when(F.col("status") == "window", F.col("suppressed")).alias("suppressed"))
     out = with_windows.join(decided, F.col("event_id") == F.col("d_id"), "left").drop("d_id")
     return out.withColumn("status", F.coalesce("status", F.lit("no_context"))).withColumn("suppressed", F.coalesce("suppressed", F.lit(0)))

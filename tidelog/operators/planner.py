@@ -19,7 +19,7 @@ BOOST_NS, QUIET_NS = 300_000_000_000, 30_000_000_000
 
 
 def _triggers(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["at_ns", "kind", "template_id"], kind="stable")
+    pdf = pdf.sort_values(["at_ns", "kind", "template_id", "detail"], kind="stable")
     until, last, said, new = 0, {}, [], []
     for at, kind, boost in zip(pdf.at_ns, pdf.kind, pdf.boost):
         fresh = bool(boost) and until <= at

@@ -147,8 +147,8 @@ def sketch_counts(logs: DataFrame) -> DataFrame:
     return with_text(logs).groupBy("template").agg(F.approx_count_distinct("body", 0.02).alias("bodies"), F.count("*").alias("n"))
 
 
-def frequent_bodies(logs: DataFrame, k: int = 5) -> DataFrame:
-    """Per template the bodies that come most often, by a bounded sketch; its counts are
-    estimates."""
-    top = with_text(logs).groupBy("template").agg(F.expr(f"approx_top_k(body, {k})").alias("top"))
-    return top.select("template", F.explode("top").alias("t")).select("template", F.col("t.item").alias("body"), F.col("t.count").alias("n"))
+def frequent(logs: DataFrame, column: str = "body", k: int = 5) -> DataFrame:
+    """Per template the values of a column that come most often, by a bounded sketch; its
+    counts are estimates where a template has more values than the sketch tracks."""
+    top = with_text(logs).groupBy("template").agg(F.expr(f"approx_top_k({column}, {k})").alias("top"))
+    return top.select("template", F.explode("top").alias("t")).select("template", F.col("t.item").alias(column), F.col("t.count").alias("n"))

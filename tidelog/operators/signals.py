@@ -2,8 +2,8 @@
 
 Records are counted per bucket of ten seconds of arrival (`observed`) by partial
 aggregation; running baselines then go over a key's buckets in order. Empty buckets are
-made inside the grouped map, and only as far as they can change anything. Sequences and
-firsts are relational.
+made inside the grouped map, and only as far as they can change anything. After a stall
+baselines start anew. Sequences and firsts are relational.
 """
 
 from __future__ import annotations
@@ -204,41 +204,66 @@ def _name(service) -> str:
     return "(no service)" if service is None or pd.isna(service) else service
 
 
-def _frame(rows: Iterable[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(list(rows), columns=FIELDS)
-    return out.astype({"template_id": "Int64", "bucket": "int64", "boost": bool})
+def _frame(rows: Iterable[tuple], *more: str) -> pd.DataFrame:
+    out = pd.DataFrame(list(rows), columns=[*FIELDS, *more])
+    return out.astype({"template_id": "Int64", "bucket": "int64", "boost": bool, **dict.fromkeys(more, "int64")})
+
+
+def epochs(logs: DataFrame, end_ns: int | None = None) -> DataFrame:
+    """The stretches (begin, end in buckets) between stalls. Where nothing at all arrives
+    for longer than an hour, detectors start anew: the bucket that was open then is never
+    closed, so it isn't in its epoch. A row for each ten seconds with records is ordered in
+    one task; what comes out has at most a row an hour."""
+    per = logs.groupBy(_bucket()).agg(F.min("observed_ns").alias("first"))
+    w = Window.orderBy("bucket")
+    stalled = F.coalesce(F.col("first") - F.lag("bucket").over(w) * BUCKET_NS > FORGET * BUCKET_NS, F.lit(True))
+    per = per.withColumn("begins", stalled.cast("int")).withColumn("epoch", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = per.groupBy("epoch").agg(F.min("bucket").alias("begin"), F.max("bucket").alias("end"))
+    last = F.col("epoch") == F.max("epoch").over(Window.partitionBy())
+    closing = F.col("end") if end_ns is None else F.lit(end_ns // BUCKET_NS)
+    return out.select("begin", F.when(last, closing).otherwise(F.col("end") - 1).alias("end"))
 
 
 def bucket_findings(logs: DataFrame, end_ns: int | None = None) -> DataFrame:
     """Findings that a closing bucket makes: rate, silence, template_rate, error_share,
-    param_drift. All buckets up to that of end_ns (the last record, if none) are closed."""
+    param_drift. All buckets up to that of end_ns (the last record, if none) are closed.
+    A service's own buckets are one group; each of its templates and slots is another."""
     ship(logs.sparkSession)
-    if end_ns is None:
-        end_ns = logs.agg(F.max("observed_ns")).first()[0] or 0
-    end = end_ns // BUCKET_NS
-    totals = service_counts(logs).select("service", F.lit(None).cast("long").alias("template_id"), F.lit(-1).alias("slot"), "bucket", "total", "errors", "warns", F.lit(0.0).alias("value"))
-    templates = template_counts(logs).select("service", "template_id", F.lit(-1).alias("slot"), "bucket", F.col("n").alias("total"), F.lit(0).cast("long").alias("errors"), F.col("worst").cast("long").alias("warns"), F.lit(0.0).alias("value"))
-    slots = slot_sums(logs).select("service", "template_id", "slot", "bucket", F.col("n").alias("total"), F.lit(0).cast("long").alias("errors"), F.lit(0).cast("long").alias("warns"), F.col("total").alias("value"))
+    spans = F.broadcast(epochs(logs, end_ns))  # a row an hour at most
+    within = (F.col("bucket") >= F.col("begin")) & (F.col("bucket") <= F.col("end"))
+    totals = service_counts(logs).join(spans, within)
 
     def service(pdf: pd.DataFrame) -> pd.DataFrame:
-        who = pdf.service.iloc[0]
         pdf = pdf.sort_values(["bucket"], kind="stable")
-        own = pdf[pdf.template_id.isna()]
-        name, out = _name(who), []
-        said, silent = service_rows(list(zip(own.bucket, own.total)), end, name)
-        out += [(None, *r) for r in said]
-        warned = own[own.warns > 0]
-        out += [(None, *r) for r in rate_rows(list(zip(warned.bucket, warned.warns)), end, name)]
-        out += [(None, *r) for r in share_rows(list(zip(own.bucket, own.total, own.errors)), name)]
-        for t, g in pdf[pdf.template_id.notna() & (pdf.slot < 0)].groupby("template_id"):
-            out += [(int(t), *r) for r in template_rows(list(zip(g.bucket, g.total, g.warns)), end, name, silent)]
-        for (t, s), g in pdf[pdf.slot >= 0].groupby(["template_id", "slot"]):
-            out += [(int(t), *r) for r in drift_rows(list(zip(g.bucket, g.value, g.total)), f"{name} value {int(s) + 1}")]
-        return _frame((None if pd.isna(who) else who, *r) for r in out)
-
-    rows = totals.unionByName(templates).unionByName(slots)
-    rows = rows.withColumn("template_id", F.col("template_id").cast("decimal(20,0)"))  # a nullable long would turn into a double
-    return rows.groupBy("service").applyInPandas(service, FINDING)
+        who, end = pdf.service.iloc[0], int(pdf.end.iloc[0])
+        name = _name(who)
+        said, silent = service_rows(list(zip(pdf.bucket, pdf.total)), end, name)
+        warned = pdf[pdf.warns > 0]
+        out = [*said, *rate_rows(list(zip(warned.bucket, warned.warns)), end, name), *share_rows(list(zip(pdf.bucket, pdf.total, pdf.errors)), name)]
+        who = None if pd.isna(who) else who
+        runs = [(who, None, lo, "run", "", False, hi) for lo, hi in silent]
+        return _frame([(who, None, *r, 0) for r in out] + runs, "until")
+
+    own = totals.groupBy("service", "begin", "end").applyInPandas(service, f"{FINDING}, until long")
+    runs = own.where("kind = 'run'").join(spans, within).groupBy(F.col("service").alias("r_service"), F.col("begin").alias("r_begin")).agg(F.array_sort(F.collect_list(F.struct(F.col("bucket").alias("lo"), F.col("until").alias("hi")))).alias("silent"))
+
+    templates = template_counts(logs).select("service", "template_id", F.lit(-1).alias("slot"), "bucket", F.col("n").alias("count"), F.col("worst").cast("long").alias("worst"), F.lit(0.0).alias("value"))
+    slots = slot_sums(logs).select("service", "template_id", "slot", "bucket", F.col("n").alias("count"), F.lit(0).cast("long").alias("worst"), F.col("total").alias("value"))
+    rows = templates.unionByName(slots).join(spans, within)
+    rows = rows.join(runs, F.col("service").eqNullSafe(F.col("r_service")) & (F.col("begin") == F.col("r_begin")), "left").drop("r_service", "r_begin")
+
+    def template(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket"], kind="stable")
+        who, id_, slot, silent = pdf.service.iloc[0], int(pdf.template_id.iloc[0]), int(pdf.slot.iloc[0]), pdf.silent.iloc[0]
+        if slot >= 0:
+            out = drift_rows(list(zip(pdf.bucket, pdf.value, pdf["count"])), f"{_name(who)} value {slot + 1}")
+        else:
+            runs_ = [] if silent is None else [(r["lo"], r["hi"]) for r in silent]
+            out = template_rows(list(zip(pdf.bucket, pdf["count"], pdf.worst)), int(pdf.end.iloc[0]), _name(who), runs_)
+        return _frame((None if pd.isna(who) else who, id_, *r) for r in out)
+
+    each = rows.groupBy("service", "begin", "template_id", "slot").applyInPandas(template, FINDING)
+    return own.where("kind <> 'run'").drop("until").unionByName(each)
 
 
 def first_findings(logs: DataFrame, start_ns: int | None = None, known: DataFrame | None = None) -> DataFrame:

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, masking, severity, times
 from ..operators import catalog, context, dictionary, forward, mining, planner, policy, rollup, scan, shapes, signals, suggestions, typed
 from ..sources import lines, receivers, records
+from . import findings_sql as f
 from . import sqltext as s
+from . import views
 
 Run = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Run] = {}
@@ -61,6 +63,11 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return hashing.with_shape_hash(shapes.with_text(stored(spark, d)), "template")
 
 
+def stormy(spark: SparkSession, d: str) -> DataFrame:
+    """The storm view with the ids of its masked texts."""
+    return hashing.with_shape_hash(shapes.with_text(views.storm(spark, d)), "template")
+
+
 def ids_sql(select: str, *more: str) -> str:
     """With `logs` and `l`, logs labelled by template_id."""
     ids = f"ids AS (SELECT template, {s.shape_hash('template')} AS template_id FROM (SELECT DISTINCT template FROM logs))"
@@ -92,8 +99,6 @@ def scan_truncated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(s.with_logs(f"SELECT id, row_number() OVER (ORDER BY hour, level, ts_ns, id) AS at FROM logs WHERE ts_ns >= {LO} AND ts_ns < {LO + 6 * s.HOUR}"))
 def scan_streaming(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = scan.scan_each(stored(spark, d), scan.Query(LO, LO + 6 * s.HOUR))
     return rows.select(hex_("event_id", "id"), F.row_number().over(Window.orderBy("hour", *scan.PATH, "timestamp_ns", "event_id")).cast("long").alias("at"))
 
@@ -295,9 +300,13 @@ def spine_payload(spark: SparkSession, d: str) -> DataFrame:
     return shapes.spine_payload(logs(spark, d))
 
 
-@query()
+@query(s.with_logs("SELECT template, count(*) AS n, true AS close FROM logs GROUP BY template"))
 def sketch_counts(spark: SparkSession, d: str) -> DataFrame:
-    return shapes.sketch_counts(logs(spark, d))
+    """Whether the estimated number of distinct bodies is within three standard errors."""
+    sketch = shapes.sketch_counts(logs(spark, d))
+    exact = shapes.with_text(logs(spark, d)).groupBy(F.col("template").alias("t")).agg(F.countDistinct("body").alias("true_bodies"))
+    close = F.abs(F.col("bodies") - F.col("true_bodies")) <= F.greatest(0.06 * F.col("true_bodies"), F.lit(1.0))
+    return sketch.join(exact, F.col("template") == F.col("t")).select("template", "n", close.alias("close"))
 
 
 # --- expressions -----------------------------------------------------------------------
@@ -547,10 +556,18 @@ def context_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(hex_("event_id", "error"), hex_("l_id", "line"))
 
 
-@query()
+#: Budgets small enough that the storm meets both.
+_LIMITS = {"ceiling": 4, "per_shape": 2}
+_WINDOWS = f.windows(1800 * NS, **_LIMITS)
+
+
+def _captured(spark: SparkSession, d: str) -> DataFrame:
+    return context.captured(context.windows(stormy(spark, d), age_ns=1800 * NS), **_LIMITS)
+
+
+@query(f.storm_sql("SELECT id, status, suppressed, lines::INTEGER AS lines, 'trace' AS key_tier FROM told", *_WINDOWS))
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = context.captured(context.windows(labelled(spark, d), age_ns=1800 * NS))
-    return w.select(hex_("event_id", "id"), "status", "suppressed", F.size("context").alias("lines"), "key_tier")
+    return _captured(spark, d).select(hex_("event_id", "id"), "status", "suppressed", F.size("context").alias("lines"), "key_tier")
 
 
 @query(
@@ -564,16 +581,39 @@ def lead_up(spark: SparkSession, d: str) -> DataFrame:
     return context.lead_up(rows.where("severity < 9"), told).select(hex_("event_id", "id"), "supplement", "at_ns")
 
 
-@query()
+_SECS = "ts_ns::DOUBLE / 1000000000::DOUBLE"
+_FLOW = f.hex16(s.shape_hash("path"))
+
+
+@query(
+    f.storm_sql(
+        f"SELECT id, repeat('0', 16) || lower(lpad(hex(xor((('0x' || {_FLOW})::UBIGINT), ts_ns::UBIGINT)), 16, '0')) AS event, true AS sized, {_SECS} AS at, 'error' AS level, 'tidelog:t:' || {f.hex16('template_id')} AS mark, body, service, 'trace' AS key_tier, {_FLOW} AS flow, lines AS context_lines, suppressed AS collapsed, bodies AS crumbs FROM told WHERE status = 'window'",
+        *_WINDOWS,
+    )
+)
 def issue_events(spark: SparkSession, d: str) -> DataFrame:
-    w = context.captured(context.windows(labelled(spark, d), age_ns=1800 * NS)).where("status = 'window'")
-    return forward.issue_envelopes(w).select(hex_("event_id", "id"), "envelope")
+    """What an issue tracker reads from the envelopes."""
+    sent = forward.issue_envelopes(_captured(spark, d).where("status = 'window'")).withColumn("p", F.split("envelope", "\n"))
+    schema = "event_id string, timestamp double, level string, fingerprint array<string>, message struct<formatted: string>, tags map<string,string>, breadcrumbs struct<values: array<struct<message: string>>>, extra struct<context_lines: bigint, collapsed: bigint>"
+    got = sent.withColumn("e", F.from_json(F.col("p")[2], schema))
+    sized = (F.get_json_object(F.col("p")[1], "$.length").cast("int") == F.octet_length(F.col("p")[2])) & (F.get_json_object(F.col("p")[0], "$.event_id") == F.col("e.event_id"))
+    crumbs = F.array_join(F.transform("e.breadcrumbs.values", lambda c: c["message"]), "/")
+    return got.select(
+        hex_("event_id", "id"), F.col("e.event_id").alias("event"), sized.alias("sized"), F.col("e.timestamp").alias("at"), F.col("e.level").alias("level"), F.col("e.fingerprint")[0].alias("mark"), F.col("e.message.formatted").alias("body"),
+        F.col("e.tags")["service"].alias("service"), F.col("e.tags")["tidelog.key_tier"].alias("key_tier"), F.col("e.tags")["tidelog.flow_hash"].alias("flow"), F.col("e.extra.context_lines").alias("context_lines"), F.col("e.extra.collapsed").alias("collapsed"), crumbs.alias("crumbs"),
+    )
 
 
-@query()
+@query(f.storm_sql(f"SELECT id, {_SECS} AS at, 'tidelog:error' AS sourcetype, body, severity::INTEGER AS severity, service, template_id, 'trace' AS key_tier, {_FLOW} AS flow, suppressed AS collapsed, lines AS context_lines, bodies AS context FROM told WHERE status = 'window'", *_WINDOWS))
 def collector_payloads(spark: SparkSession, d: str) -> DataFrame:
-    w = context.captured(context.windows(labelled(spark, d), age_ns=1800 * NS)).where("status = 'window'")
-    return forward.collector_events(w).select(hex_("event_id", "id"), "payload")
+    """What a collector reads from the payloads."""
+    sent = forward.collector_events(_captured(spark, d).where("status = 'window'"))
+    event = "body: string, severity: int, service: string, template_id: bigint, key_tier: string, flow_hash: string, collapsed: bigint, context_lines: bigint, context: array<struct<body: string>>"
+    got = sent.select("event_id", F.from_json("payload", f"time double, sourcetype string, event struct<{event}>").alias("e"))
+    return got.select(
+        hex_("event_id", "id"), F.col("e.time").alias("at"), F.col("e.sourcetype").alias("sourcetype"), "e.event.body", "e.event.severity", "e.event.service", "e.event.template_id", "e.event.key_tier", F.col("e.event.flow_hash").alias("flow"),
+        "e.event.collapsed", "e.event.context_lines", F.array_join(F.transform("e.event.context", lambda c: c["body"]), "/").alias("context"),
+    )
 
 
 @query(s.with_logs("SELECT id, CASE WHEN seq % 3 = 0 THEN true WHEN seq % 10 >= 8 THEN true ELSE false END AS loop FROM logs"))
@@ -619,30 +659,40 @@ def first_findings(spark: SparkSession, d: str) -> DataFrame:
     return signals.first_findings(labelled(spark, d)).select("service", "template_id", F.col("observed_ns").alias("at_ns"), "kind")
 
 
-@query()
+@query(f.storm_sql("SELECT * FROM bf", *f.findings()))
 def bucket_findings(spark: SparkSession, d: str) -> DataFrame:
-    return signals.bucket_findings(labelled(spark, d))
+    return signals.bucket_findings(stormy(spark, d))
+
+
+_PLAN = f.planned(signals.LEARN_NS, 10)
 
 
-@query()
+@query(f.storm_sql("SELECT service, sent, count(*) AS n FROM pl GROUP BY ALL", *_PLAN))
 def planner_sent(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
+    rows = stormy(spark, d)
     told = planner.triggers(signals.findings(rows))
     return planner.plan(rows, told, 10).groupBy("service", "sent").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f.storm_sql("SELECT id, at_ns, supplement FROM su", *_PLAN))
 def planner_supplements(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
+    rows = stormy(spark, d)
     told = planner.triggers(signals.findings(rows))
     return planner.supplements(planner.plan(rows, told, 10), told).select(hex_("event_id", "id"), "at_ns", "supplement")
 
 
-@query()
+@query(
+    f.storm_sql(
+        "SELECT tr.told AS ts_ns, 13::SMALLINT AS severity, 'anomaly (' || kind || '): ' || detail AS body, service, kind, coalesce(n, 0) AS lookback FROM tr LEFT JOIN (SELECT at_ns, supplement, count(*) AS n FROM su GROUP BY ALL) u ON u.at_ns = tr.told AND u.supplement = 'lookback:' || kind WHERE said",
+        *_PLAN,
+    )
+)
 def anomaly_markers(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
+    rows = stormy(spark, d)
     told = planner.triggers(signals.findings(rows))
-    return planner.markers(told, planner.supplements(planner.plan(rows, told, 10), told)).drop("attributes")
+    out = planner.markers(told, planner.supplements(planner.plan(rows, told, 10), told))
+    a = F.col("attributes")
+    return out.select(F.col("timestamp_ns").alias("ts_ns"), "severity", "body", "service", records.first_value(a, "tidelog.anomaly.kind", "Str").alias("kind"), records.first_value(a, "tidelog.anomaly.lookback", "I64").cast("long").alias("lookback"))
 
 
 # --- mining ----------------------------------------------------------------------------
@@ -660,9 +710,41 @@ def mined_params(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(hex_("event_id", "id"), "params")
 
 
-@query()
+_WIDE = "'the nightly backup of volume <*> finished without errors on every node'"
+_MINED = f"""v AS (SELECT service, arg_min(volume, (ts_ns, id)) AS first, replace({_WIDE}, '<*>', arg_min(volume, (ts_ns, id))) AS narrow FROM lines WHERE f = 4 GROUP BY service),
+  x AS (SELECT service, min((ts_ns, id)) AS widened FROM lines JOIN v USING (service) WHERE f = 4 AND volume <> first GROUP BY service),
+  m AS (SELECT id, service, ts_ns, f, coalesce(template, narrow) AS born, CASE WHEN f <> 4 THEN template WHEN (ts_ns, id) < widened THEN narrow ELSE {_WIDE} END AS template, CASE WHEN f = 4 AND (ts_ns, id) >= widened THEN [volume] ELSE params END AS params FROM lines LEFT JOIN v USING (service) LEFT JOIN x USING (service)),
+  h AS (SELECT t, {s.shape_hash('t')} AS hash FROM (SELECT DISTINCT unnest([born, template]) AS t FROM m))"""
+
+
+@query(f"WITH {views.LINES}, {_MINED} SELECT id, a.hash AS template_id, template, b.hash AS lineage_id, row_number() OVER (PARTITION BY service, f ORDER BY ts_ns, id) = 1 AS is_new, params FROM m JOIN h a ON template = a.t JOIN h b ON born = b.t")
+def mined_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of eight forms, one of which widens, as after each line."""
+    mined = mining.mine_templates(views.mixed_lines(spark, d), ["service"], ["observed_ns", "event_id"])
+    return mined.select(hex_("event_id", "id"), "template_id", "template", "lineage_id", "is_new", "params")
+
+
+@query(f"WITH {views.LINES}, {_MINED} SELECT id, CASE WHEN f = 4 AND volume_ = first THEN narrow WHEN f = 4 THEN {_WIDE} ELSE template END AS template FROM (SELECT m.*, first, narrow, lines.volume AS volume_ FROM m JOIN lines USING (id) LEFT JOIN v ON v.service = m.service)")
+def mined_at_first(spark: SparkSession, d: str) -> DataFrame:
+    """The quick form: each masked line keeps what it got at its first arrival."""
+    mined = mining.mine_templates(views.mixed_lines(spark, d), ["service"], ["observed_ns", "event_id"], exact=False)
+    return mined.select(hex_("event_id", "id"), "template")
+
+
+_UNITS = ", ".join(f"'{u}'" for u in sorted(masking.UNITS))
+_FREE = f"""a AS (SELECT conv_id, turn, role, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS x FROM conversations)),
+  b AS (SELECT *, CASE WHEN regexp_replace(w, '[,;.)\\]}}:]+$', '') = '' THEN w ELSE regexp_replace(w, '[,;.)\\]}}:]+$', '') END AS core FROM a),
+  c AS (SELECT *, substr(w, length(core) + 1) AS tail, CASE WHEN instr(core, '=') > 1 AND instr(core, '=') < length(core) AND NOT regexp_matches(substr(core, 1, instr(core, '=') - 1), '[0-9"]') THEN instr(core, '=') ELSE 0 END AS eq FROM b),
+  e AS (SELECT *, {s.classify('v')} AS class FROM (SELECT *, substr(core, eq + 1) AS v FROM c)),
+  g AS (SELECT conv_id, turn, role, i, CASE WHEN i <= 2 AND regexp_matches(w, '^\\[[A-Za-z0-9._:/-]+\\]$') AND NOT regexp_matches(lower(w), '^.({'|'.join(sorted(severity.ALL_WORDS))}).$') THEN '<COMP>' WHEN class = '' THEN w ELSE substr(core, 1, eq) || class || tail END AS m, regexp_replace(w, '[^A-Za-z0-9]+$', '') IN ({_UNITS}) AS unit FROM e),
+  h AS (SELECT conv_id, turn, role, list_reduce(list({{'m': m, 'unit': unit, 'out': [m]}} ORDER BY i), lambda a, y: CASE WHEN y.unit AND regexp_matches(a.out[-1], '<.*>') THEN a ELSE {{'m': y.m, 'unit': y.unit, 'out': list_append(a.out, y.m)}} END).out AS out FROM g GROUP BY ALL),
+  k AS (SELECT *, array_to_string(out, ' ') AS template FROM h), ids AS (SELECT template, {s.shape_hash('template')} AS template_id FROM (SELECT DISTINCT template FROM k))"""
+
+
+@query(f"WITH {_FREE} SELECT conv_id, turn, template_id, template, row_number() OVER (PARTITION BY role, template ORDER BY conv_id, turn) = 1 AS is_new FROM k JOIN ids USING (template) UNION ALL SELECT conv_id, turn, NULL, NULL, false FROM conversations WHERE trim(coalesce(text, '')) = ''")
 def mined_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Templates of free text: the turns of conversations, mined in order."""
+    """Templates of free text: the turns of conversations, mined in order. The SQL counts on
+    texts that are too unlike to join one another and hold no asides."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.col("text").alias("body"))
     return mining.mine_templates(turns, ["role"], ["conv_id", "turn"]).select("conv_id", "turn", "template_id", "template", "is_new")
 
@@ -952,12 +1034,14 @@ def compaction_plan(spark: SparkSession, d: str) -> DataFrame:
     return policy.compactable(rows, 10_000, small=11, target=45).select("path")
 
 
-@query()
-def frequent_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return shapes.frequent_bodies(logs(spark, d))
+@query(s.with_logs("SELECT template, rank, n FROM (SELECT template, count(*) AS n, row_number() OVER (PARTITION BY template ORDER BY count(*) DESC) AS rank FROM logs WHERE service IS NOT NULL GROUP BY template, service) WHERE rank <= 5"))
+def frequent_services(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the services that a template comes from most often."""
+    top = shapes.frequent(logs(spark, d).where("service is not null"), "service", 5)
+    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.desc("n")))
+    return top.select("template", rank.cast("long").alias("rank"), "n")
 
 
-@query()
+@query(f.storm_sql("SELECT status, CASE WHEN status = 'window' THEN 'context' ELSE 'bare' END AS tracker, CASE WHEN status = 'window' THEN 'context' ELSE 'aggregate' END AS collector, count(*) AS n FROM told GROUP BY ALL", *_WINDOWS))
 def dispatch_shapes(spark: SparkSession, d: str) -> DataFrame:
-    w = context.captured(context.windows(labelled(spark, d), age_ns=1800 * NS))
-    return forward.shaped(w).groupBy("status", "tracker", "collector").agg(F.count("*").alias("n"))
+    return forward.shaped(_captured(spark, d)).groupBy("status", "tracker", "collector").agg(F.count("*").alias("n"))
