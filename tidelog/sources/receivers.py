@@ -74,23 +74,51 @@ def _row(r: dict, source: str, at: int) -> dict:
     return r | {"attributes": given, "event_id": stamp + bytes([0x70 | h[0] & 15, h[1], 0x80 | h[2] & 63]) + h[3:]}
 
 
-def decoded(bodies: DataFrame, parse: Callable[[str | bytes], list[dict]], body: str = "value") -> DataFrame:
+Parse = Callable[[str | bytes], list[dict]]
+
+
+def _source(body: str | bytes, request: str | None) -> str:
+    return f"{request}\x1e{body if isinstance(body, str) else body.hex()}"
+
+
+def decoded(bodies: DataFrame, parse: Parse, body: str = "value", request: str | None = None) -> DataFrame:
     """A record for each that parse() finds in each body; a body that it refuses (raises
-    ValueError) has none."""
+    ValueError) has none here and a row in refused(). Ids come from the body, the record's
+    place in it and the column `request`, which tells equal bodies of different requests
+    apart; without one they are the same records."""
     ship(bodies.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text in pdf[body]:
+            for text, number in zip(pdf["__body"], pdf["__request"]):
                 try:
                     found = parse(text) if text is not None else []
                 except ValueError:
                     found = []
-                rows += [_row(r, text if isinstance(text, str) else text.hex(), i) for i, r in enumerate(found)]
+                rows += [_row(r, _source(text, number), i) for i, r in enumerate(found)]
             yield pd.DataFrame(rows, columns=RECORD.names).astype({"severity": "int16"}) if rows else pd.DataFrame(columns=RECORD.names)
 
-    return bodies.select(body).mapInPandas(run, RECORD)
+    number = F.col(request).cast("string") if request else F.lit("")
+    return bodies.select(F.col(body).alias("__body"), number.alias("__request")).mapInPandas(run, RECORD)
+
+
+def refused(bodies: DataFrame, parse: Parse, body: str = "value") -> DataFrame:
+    """The bodies that parse() refuses: body_hash (SHA-256), bytes, reason."""
+    ship(bodies.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["__body"]:
+                try:
+                    parse(text) if text is not None else []
+                except ValueError as e:
+                    data = text.encode() if isinstance(text, str) else bytes(text)
+                    rows.append((hashlib.sha256(data).hexdigest(), len(data), f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["body_hash", "bytes", "reason"])
+
+    return bodies.select(F.col(body).alias("__body")).mapInPandas(run, "body_hash string, bytes long, reason string")
 
 
 # --- collector events ------------------------------------------------------------------

@@ -98,11 +98,12 @@ def error_shares(counts: DataFrame) -> DataFrame:
 
 def to_store(logs: DataFrame, path: str, checkpoint: str, **trigger):
     """A query that writes a stream of records to the store, batch by batch; late records
-    land in their own hour like any others."""
+    land in their own hour like any others. A batch that is tried again replaces what its
+    first try has written."""
     from ..sources import store
 
     def put(batch: DataFrame, number: int) -> None:
-        store.write(batch, path)
+        store.write(batch, path, batch=f"b{number:012d}")
 
     return logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"availableNow": True})).start()
 
