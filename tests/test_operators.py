@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.hashing import shape_hash_of
 from tidelog.functions.masking import mask_line
-from tidelog.operators import catalog, context, dictionary, forward, mining, planner, policy, rollup, scan, signals, suggestions, typed
+from tidelog.operators import catalog, context, dictionary, forward, mining, planner, policy, rollup, scan, shapes, signals, suggestions, typed
 from tidelog.sources import records
 from tidelog.sources.records import RECORD
 
@@ -347,6 +347,25 @@ def test_loops(spark):
     assert hops[0] == 1 and hops[3] == 8 and hops[4] == 8
 
 
+def test_running_sums(spark):
+    r = random.Random(1)
+    rows = [(i.to_bytes(16, "big"), r.randrange(0, 20_000) * S, r.choice(["a", "b", None]), r.randrange(9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id binary, observed_ns long, o string, w int")
+    for of in ((), ("o",)):
+        want, sums = [], {}
+        for id_, _, o, w in sorted(rows, key=lambda x: (x[1], x[0])):
+            key = o if of else 0
+            want.append((id_, sums.get(key, 0)))
+            sums[key] = sums.get(key, 0) + w
+        assert sorted((bytes(x.event_id), x.before) for x in shapes.running(df, "before", F.col("w"), *of).collect()) == sorted(want)
+
+
+def test_strided_statistics_and_repeated_keys(spark):
+    rows = [(t, 9, "x", "api", None, 1, [("k", "I64", t), ("k", "Str", "later")]) for t in range(100)]
+    (got,) = typed.key_statistics(logs(spark, rows), 10, ["observed_ns", "event_id"]).collect()
+    assert (got.sampled, got.present, got.ints, got.strings, got.rows) == (10, 10, 10, 0, 100)
+
+
 def test_column_names():
     assert typed.column_name("http.Status-Code") == "attr_http_status_code" and typed.column_name("é1") == "attr___1"
     assert typed.column_name("") is None and typed.column_name("x" * 65) is None and typed.column_name("._-") is None

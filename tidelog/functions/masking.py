@@ -107,6 +107,34 @@ def mask_column(df: DataFrame, body: str, tokens: str = "tokens", raw: str = "ra
     return df.withColumn("__m", masked(body)).withColumn(tokens, F.col("__m.tokens")).withColumn(raw, F.col("__m.raw")).drop("__m")
 
 
+#: Between tokens in a masked line's key; white space, so no token holds it.
+MARK = "\x1f"
+
+
+def _keys(bodies: pd.Series) -> pd.Series:
+    return pd.Series([MARK.join(mask_line(b)[0]) if b else "" for b in bodies], dtype=object)
+
+
+def _keys_and_values(bodies: pd.Series) -> pd.DataFrame:
+    done = [mask_line(b) if b else ([], []) for b in bodies]
+    return pd.DataFrame({"key": [MARK.join(d[0]) for d in done], "raw": [MARK.join(d[1]) for d in done]})
+
+
+def mask_key(df: DataFrame, body: str, key: str, raw: str | None = None) -> DataFrame:
+    """Adds the masked tokens as one text (empty without tokens) and, if asked for, the
+    parameter candidates as another: texts pass through Arrow faster than lists."""
+    ship(df.sparkSession)
+    if raw is None:
+        return df.withColumn(key, F.pandas_udf(_keys, "string")(body))
+    masked = F.pandas_udf(_keys_and_values, "key string, raw string")
+    return df.withColumn("__m", masked(body)).withColumn(key, F.col("__m.key")).withColumn(raw, F.col("__m.raw")).drop("__m")
+
+
+def split_key(key: Column) -> Column:
+    """The tokens of a key."""
+    return F.when(key != "", F.split(key, MARK)).otherwise(F.array().cast("array<string>"))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once: an expression that is named twice is
     otherwise computed twice, in every place that names it."""

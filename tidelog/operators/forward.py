@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import vendor_level
 from ..sources.records import ATTRIBUTES, attr, with_attr
+from .shapes import running
 
 
 def hex16(id_: Column) -> Column:
@@ -72,9 +73,8 @@ def stamped(logs: DataFrame, instance: str, most: int = 8) -> DataFrame:
 def frames(lines: DataFrame, stream: str = "service", order: str = "observed_ns", size: int = 1 << 20) -> DataFrame:
     """Numbers the lines' frames of about `size` bytes, per stream and in order: a frame
     ends with the line that reaches a multiple of the size."""
-    w = Window.partitionBy(stream).orderBy(order, "value").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0))
-    return lines.withColumn("frame", F.call_function("div", before.cast("long"), F.lit(size).cast("long")))
+    lines = running(lines, "__before", F.octet_length("value") + 1, stream, clock=order, ties=("value",))
+    return lines.withColumn("frame", F.call_function("div", F.col("__before"), F.lit(size).cast("long"))).drop("__before")
 
 
 def shaped(captured: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shape_hash_of
-from ..functions.masking import WILD, is_placeholder, mask_column
+from ..functions.masking import MARK, WILD, is_placeholder, mask_key, split_key
+from ..scratch import kept
 from ..shipping import ship
 
 
@@ -219,9 +220,12 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     Lines without tokens have nulls. Columns of these names that come in are replaced."""
     ship(logs.sparkSession)
     logs = logs.drop("template_id", "template", "lineage_id", "is_new", "params")
-    masked = mask_column(logs, body, "__tokens", "__raw").withColumn("__key", F.array_join("__tokens", "\x1f"))
-    masked = masked.withColumn("__n", F.size("__tokens")).withColumn("__at", F.struct(*order))
     keys = [*scope, "__n"]
+
+    def prepared(rows: DataFrame, raw: str | None = None) -> DataFrame:
+        return mask_key(rows, body, "__key", raw).withColumn("__n", F.size(split_key(F.col("__key")))).withColumn("__at", F.struct(*order))
+
+    masked = prepared(logs, "__raw")
     since, last, until = ([f"__{x}{i}" for i in range(len(order))] for x in "olu")
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,27 +266,31 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
 
     types = dict(logs.dtypes)
     first_last = [*((f"__first.{o}", n) for o, n in zip(order, since)), *((f"__last.{o}", n) for o, n in zip(order, last))]
-    shapes = masked.where("__n > 0").groupBy(*keys, "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__times"))
+    shapes = prepared(logs.select(*dict.fromkeys([*scope, *order, body]))).where("__n > 0").groupBy(*keys, "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__times"))
     shapes = shapes.select(*keys, "__key", "__times", *(F.col(c).alias(n) for c, n in first_last))
     schema = ", ".join([*(f"`{s}` {types[s]}" for s in scope), "__n int, __key string", *(f"{n} {types[o]}, {u} {types[o]}" for o, n, u in zip(order, since, until)), f"__ends boolean, __open boolean, {_OUT}"])
     named = shapes.groupBy(*keys).applyInPandas(label, schema)
     struct = lambda names: F.struct(*(F.col(f).alias(o) for o, f in zip(order, names)))
     named = named.select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(scope)), F.col("__key").alias("__k"), struct(since).alias("__since"), struct(until).alias("__until"), "__ends", "__open", "template_id", "template", "lineage_id", "is_new")
-    on = F.col("__key") == F.col("__k")
+    # a written table has a known size: while it is small, it goes to the lines
+    named = kept(named.withColumn("__h", F.xxhash64("__k")), "mined-shapes")
+    masked = masked.withColumn("__hash", F.xxhash64("__key"))
+    on = (F.col("__hash") == F.col("__h")) & (F.col("__key") == F.col("__k"))
     for i, s in enumerate(scope):
         on = on & F.col(s).eqNullSafe(F.col(f"__s{i}"))
     if exact:
         on = on & (F.col("__open") | (F.col("__at") >= F.col("__since")) & (~F.col("__ends") | (F.col("__at") < F.col("__until"))))
     out = masked.join(named, on, "left").withColumn("is_new", F.coalesce(F.col("is_new") & (F.col("__at") == F.col("__since")), F.lit(False)))
-    out = out.drop("__k", "__since", "__until", "__ends", *(f"__s{i}" for i in range(len(scope))))
-    if exact:
+    out = out.drop("__k", "__h", "__hash", "__since", "__until", "__ends", *(f"__s{i}" for i in range(len(scope))))
+    if exact and named.where("__open").limit(1).count():
         rows = out.where("__open").drop("__open", "__at", "template_id", "template", "lineage_id", "is_new")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + _OUT
         rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_lines(keys, config), schema)
         out = out.where("__open is null or not __open").drop("__open", "__at").unionByName(rows)
     wild = F.split("template", " ")
-    kept = F.filter(F.arrays_zip(wild.alias("t"), F.col("__tokens").alias("m"), F.col("__raw").alias("r")), lambda x: (x["t"] == WILD) | (x["m"].contains("<") & x["m"].contains(">")))
-    return out.select(*logs.columns, "template_id", "template", "lineage_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.transform(kept, lambda x: x["r"]).alias("params"))
+    slots = F.arrays_zip(wild.alias("t"), split_key(F.col("__key")).alias("m"), F.when(F.col("__key") != "", F.split("__raw", MARK)).otherwise(F.array().cast("array<string>")).alias("r"))
+    slots = F.filter(slots, lambda x: (x["t"] == WILD) | (x["m"].contains("<") & x["m"].contains(">")))
+    return out.select(*logs.columns, "template_id", "template", "lineage_id", F.coalesce("is_new", F.lit(False)).alias("is_new"), F.transform(slots, lambda x: x["r"]).alias("params"))
 
 
 def mine_missing(logs: DataFrame, scope: list[str], order: list[str], **how) -> DataFrame:

@@ -92,6 +92,16 @@ def scan_each(logs: DataFrame, q: Query) -> DataFrame:
     return matches(logs, q).orderBy("hour", *PATH, "timestamp_ns", "event_id")
 
 
+def numbered(logs: DataFrame, q: Query) -> DataFrame:
+    """All matches with `at`, their place in scan_each()'s order from 1; counted by hours
+    first, so no task orders the table."""
+    rows = matches(logs, q)
+    per = rows.groupBy(F.col("hour").alias("__h")).agg(F.count("*").alias("__c"))
+    per = per.withColumn("__base", F.coalesce(F.sum("__c").over(Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")  # a row an hour
+    inside = Window.partitionBy("hour").orderBy(*PATH, "timestamp_ns", "event_id")
+    return rows.join(per, F.col("hour") == F.col("__h")).withColumn("at", F.col("__base") + F.row_number().over(inside)).drop("__h", "__base")
+
+
 def recent(logs: DataFrame, now_ns: int, window_secs: int, service: str | None = None, min_severity: int | None = None, limit: int = 10_000) -> DataFrame:
     return scan(logs, Query(max(0, now_ns - window_secs * 1_000_000_000), None, service, min_severity, None, limit))
 

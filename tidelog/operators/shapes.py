@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import shape_hash
 from ..functions.masking import with_masked_text
-from ..functions.times import MINUTE_NS, floor_ns
+from ..functions.times import HOUR_NS, MINUTE_NS, floor_ns, int_div
 
 
 def with_text(logs: DataFrame) -> DataFrame:
@@ -104,17 +104,27 @@ def parsing_accuracy(df: DataFrame, predicted: str, truth: str) -> DataFrame:
     return joined.agg((F.coalesce(F.sum(F.when(exact, F.col("n"))), F.lit(0)) / F.sum("n")).alias("accuracy"), F.count_if(exact).alias("groups"))
 
 
+def running(rows: DataFrame, name: str, weight: Column, *of: str, clock: str = "observed_ns", ties: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Adds the sum of `weight` over the rows of the same `of` that come earlier by (clock,
+    ties). Sums are taken by hours first and rows are ordered within an hour, so no task
+    orders a whole group, or the whole table where `of` is empty."""
+    rows = rows.withColumn("__w", weight).withColumn("__hour", floor_ns(F.col(clock), HOUR_NS))
+    group = [F.col(c).alias(f"__g{i}") for i, c in enumerate(of)]
+    per = rows.groupBy(*group, F.col("__hour").alias("__h")).agg(F.sum("__w").alias("__s"))
+    earlier = Window.partitionBy(*(f"__g{i}" for i in range(len(of)))).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__base", F.coalesce(F.sum("__s").over(earlier), F.lit(0))).drop("__s")
+    same = F.col("__hour") == F.col("__h")
+    for i, c in enumerate(of):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inside = Window.partitionBy(*of, "__hour").orderBy(clock, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(per, same).withColumn(name, (F.col("__base") + F.coalesce(F.sum("__w").over(inside), F.lit(0))).cast("long"))
+    return out.drop("__w", "__hour", "__h", "__base", *(f"__g{i}" for i in range(len(of))))
+
+
 def segments(logs: DataFrame, n: int) -> DataFrame:
-    """Rows in runs of n by (observed, id): rows before a row are counted in hours first,
-    so that no task numbers the whole table."""
-    from ..functions.times import HOUR_NS
-
-    hour = floor_ns(F.col("observed_ns"), HOUR_NS)
-    rows = logs.select("event_id", "observed_ns", hour.alias("h"))
-    per = rows.groupBy("h").agg(F.count("*").alias("c"))
-    per = per.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("observed_ns", "event_id")) - 1)
-    return rows.join(per, "h").select("event_id", F.floor((F.col("base") + F.col("k")) / n).alias("segment"))
+    """Rows in runs of n by (observed, id)."""
+    rows = running(logs.select("event_id", "observed_ns"), "__before", F.lit(1))
+    return rows.select("event_id", int_div(F.col("__before"), n).alias("segment"))
 
 
 def flows(logs: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import canonical_ns
 from ..sources.records import ATTRIBUTES
+from .shapes import running
 
 PREFIX = "attr_"
 EXACT_INT = 2**53
@@ -46,21 +47,23 @@ def column_name(key: str) -> str | None:
 
 
 def first_of_each(attributes: Column) -> Column:
-    """The list without later attributes of a key that came before."""
+    """The list without later attributes of a key that came before. Only lists with a
+    repeated key are gone through."""
     n = F.size(attributes)
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     keys = F.transform(attributes, lambda a: a["key"])
     own = F.filter(at, lambda i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return F.transform(own, lambda i: F.get(attributes, i))
+    return F.when(F.size(F.array_distinct(keys)) == n, attributes).otherwise(F.transform(own, lambda i: F.get(attributes, i)))
 
 
 def key_statistics(logs: DataFrame, stride: int = 1, order: list[str] | None = None) -> DataFrame:
     """(service, key) to how often it is present and with values of which type, with the
     service's rows and sampled rows. With a stride, rows 0, stride, 2 stride ... in order
-    are sampled; a missing service counts as the empty one."""
+    (a clock in nanoseconds, then ties) are sampled; a missing service counts as the empty one."""
     rows = logs.select(F.coalesce("service", F.lit("")).alias("service"), F.coalesce("attributes", F.array().cast(ATTRIBUTES)).alias("attributes"), *(order or []))
     if stride > 1:
-        rows = rows.withColumn("__n", F.row_number().over(Window.orderBy(*[F.col(o).asc_nulls_first() for o in order or []])) - 1)
+        clock, *ties = order or []
+        rows = running(rows, "__n", F.lit(1), clock=clock, ties=tuple(ties))
         rows = rows.withColumn("sampled", F.pmod("__n", F.lit(stride)) == 0)
     else:
         rows = rows.withColumn("sampled", F.lit(True))
@@ -73,7 +76,7 @@ def key_statistics(logs: DataFrame, stride: int = 1, order: list[str] | None = N
         F.count(v["I64"]).alias("ints"),
         F.count(v["F64"]).alias("floats"),
         F.count(v["Bool"]).alias("bools"),
-        F.count(canonical_ns(text)).alias("timestamps"),
+        F.count(F.when((F.length(text) >= 20) & text.endswith("Z"), canonical_ns(text))).alias("timestamps"),
         F.count(text).alias("strings"),
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("string_bytes"),
     )

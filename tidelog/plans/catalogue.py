@@ -99,8 +99,8 @@ def scan_truncated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(s.with_logs(f"SELECT id, row_number() OVER (ORDER BY hour, level, ts_ns, id) AS at FROM logs WHERE ts_ns >= {LO} AND ts_ns < {LO + 6 * s.HOUR}"))
 def scan_streaming(spark: SparkSession, d: str) -> DataFrame:
-    rows = scan.scan_each(stored(spark, d), scan.Query(LO, LO + 6 * s.HOUR))
-    return rows.select(hex_("event_id", "id"), F.row_number().over(Window.orderBy("hour", *scan.PATH, "timestamp_ns", "event_id")).cast("long").alias("at"))
+    rows = scan.numbered(stored(spark, d), scan.Query(LO, LO + 6 * s.HOUR))
+    return rows.select(hex_("event_id", "id"), F.col("at").cast("long").alias("at"))
 
 
 @query(s.with_logs(f"SELECT id, ts_ns FROM (SELECT * FROM logs WHERE ts_ns >= {HI - 7200 * NS} AND severity >= 13 ORDER BY {_ORDER} LIMIT 20)"))

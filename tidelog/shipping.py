@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tidelog-")) / "tidelog_package.zip"
+    folder = tempfile.mkdtemp(prefix="tidelog-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder) / "tidelog_package.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, Path("tidelog") / p.relative_to(top))
