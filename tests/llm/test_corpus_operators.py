@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+import struct
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import dart_minhash as dm
@@ -226,6 +230,78 @@ def test_gam_learns_and_adds_up():
     assert np.allclose(1 / (1 + np.exp(-z)), s)
 
 
+def naive_fit(x, y, rounds, rate=0.1, l2=1.0):
+    """The main effects, row by row and cut by cut; scores of the rows."""
+    n, p = len(y), (sum(y) + 0.5) / (len(y) + 1)
+    z = [math.log(p / (1 - p))] * n
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1]))) for f in range(x.shape[1])]
+    bins = [[sum(c <= v for c in cuts[f]) for v in x[:, f]] for f in range(x.shape[1])]
+    for _ in range(rounds):
+        for f in range(x.shape[1]):
+            q = [1 / (1 + math.exp(-v)) for v in z]
+            g, h = [b - a for a, b in zip(q, y)], [a * (1 - a) for a in q]
+            leaves = [(0, len(cuts[f]) + 1)]
+            total = lambda v, lo, hi: sum(a for a, b in zip(v, bins[f]) if lo <= b < hi)  # noqa: E731, B023
+            for _ in range(2):
+                best = (1e-12, None, None)
+                for k, (lo, hi) in enumerate(leaves):
+                    tg, th = total(g, lo, hi), total(h, lo, hi)
+                    for at in range(lo + 1, hi):
+                        lg, lh = total(g, lo, at), total(h, lo, at)
+                        gain = lg**2 / (lh + l2) + (tg - lg) ** 2 / (th - lh + l2) - tg**2 / (th + l2)
+                        if lh >= 1e-3 and th - lh >= 1e-3 and gain > best[0] + 1e-12:
+                            best = (gain, k, at)
+                if best[1] is None:
+                    break
+                lo, hi = leaves.pop(best[1])
+                leaves += [(lo, best[2]), (best[2], hi)]
+            for lo, hi in leaves:
+                step = rate * total(g, lo, hi) / (total(h, lo, hi) + l2)
+                z = [v + step if lo <= b < hi else v for v, b in zip(z, bins[f])]
+    return [1 / (1 + math.exp(-v)) for v in z]
+
+
+def test_gam_against_plain_boosting():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(120, 3)).round(1)
+    y = (x[:, 0] + 0.5 * x[:, 1] + r.normal(size=120) * 0.5 > 0).astype(float)
+    got = gam_quality.fit(x, y, rounds=4, pairs=0).score(x)
+    assert got == pytest.approx(naive_fit(x, list(y), 4))
+
+
+def naive_features(text):
+    words = text.split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(gam_quality.FEATURES)
+    lines = [x for x in text.split("\n") if x.strip()]
+    letters = sum(map(len, words))
+    return [
+        math.log1p(n), letters / n, math.log1p(max(map(len, words))), sum(c.isupper() for c in text) / letters, len(re.findall(r"[^\w\s.,;:!?'\"()-]", text)) / len(text), sum(c in "0123456789" for c in text) / len(text), len(set(words)) / n,
+        Counter(words).most_common(1)[0][1] / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(set(zip(words, words[1:], words[2:]))) / (n - 2) if n > 2 else 1.0, 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        len(re.findall(r"[^\w\s.,;:!?'\")]+(?=\s|$)|[!?]{2,}(?=\s|$)", text)) / n, len(re.findall(r"[.!?](?=\s|$)", text)) / n, sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines) if lines else 0.0, text.count("|") / n, sum(w.isupper() and len(w) > 1 for w in words) / n,
+    ]
+
+
+def test_scores_against_a_plain_sum(spark, sf):
+    """The registered query's rows: features measured anew, table entries added one by one."""
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = gam_quality.train(d, labels)
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = {r.doc_id: r.score for r in gam_quality.quality_scores(d, labels).collect()}
+    for i, t in texts.items():
+        b = [sum(c <= v for c in cuts) for v, cuts in zip(naive_features(t or ""), m.cuts)]
+        z = m.intercept + sum(table[k] for table, k in zip(m.tables, b)) + sum(t2[m.coarse[f][b[f]], m.coarse[g][b[g]]] for f, g, t2 in m.pairs)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_features_of_long_texts():
+    text = ("Word other WORD 12 | . " * 40_000 + "\n") * 3 + "end?!"
+    assert gam_quality.features(text) == pytest.approx(naive_features(text))
+    ids, words = gam_quality._numbered(text, 50)
+    assert [words[i] for i in ids] == text.split()
+
+
 def test_gam_without_labels():
     assert (gam_quality.fit(np.zeros((0, 2)), np.zeros(0)).score(np.zeros((3, 2))) == 0.5).all()
     assert gam_quality.fit(np.zeros((9, 2)), np.ones(9)).score(np.zeros((1, 2)))[0] > 0.9
@@ -305,6 +381,59 @@ def test_sources_take_their_targets_exactly(spark, slots):
     assert words == want
 
 
+def spark_hash(i):
+    h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def naive_mix(rows, slots, most=3, golden=5_700_357_409_661_599_241):
+    """The schedule, slot after slot, and each document's words in it."""
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    of = defaultdict(list)
+    for i, _, s in rows:
+        of[s].append(i)
+    order = sorted((s for s in of if s is not None)) + [None] * (None in of)
+    totals = [sum(size[i] for i in of[s]) for s in order]
+    want = water(totals, [i % 3 + 1 for i in range(len(order))], most)
+    wanted = {s: int(float(want[k]) + 0.5) for k, s in enumerate(order)}
+    total = sum(totals)
+    block = max(1, -(-total // slots))
+    ends, run = [], 0.0
+    for k in range(len(order)):
+        run += float(want[k])
+        ends.append(run)
+    given = defaultdict(int)
+    for slot in range(total // block):
+        u = slot * golden % 2**63 / 2**63
+        k = next((k for k, e in enumerate(ends) if u < e / ends[-1]), len(order) - 1)
+        given[order[k]] += 1
+    taken = defaultdict(int)
+    for s in order:
+        line = sorted(of[s], key=lambda i: (spark_hash(i) % 1024, spark_hash(i), i))
+        words = [i for _ in range(most) for i in line for _ in range(size[i])]
+        blocks = max(given[s], -(-wanted[s] // block))  # those without a slot follow its last
+        for i in words[: min(wanted[s], blocks * block)]:
+            taken[i] += 1
+    return {i: taken[i] for i, _, _ in rows}, given, block
+
+
+@pytest.mark.parametrize("slots", [40, 1 << 18])
+def test_mix_against_a_plain_schedule(spark, slots):
+    r = random.Random(slots)
+    rows = [(i, "w " * r.choice([0, 1, 7, 60, 300]), r.choice(["a", "b", "b", "c", "d", None, "e"] + ["a"] * 6)) for i in range(300)]
+    want, given, block = naive_mix(rows, slots)
+    assert {x.doc_id: x.taken for x in mix(docs(spark, rows), slots=slots).collect()} == want
+    from tidelog.llm.source_mix import ranked_slots
+
+    sizes = spark.createDataFrame([(s, len((t or "").split())) for _, t, s in rows], "source string, size long")
+    total = sum(len(t.split()) for _, t, _ in rows)
+    have = ranked_slots(targets(sizes), total // block).collect()
+    assert {s: n for s, n in Counter(x.source for x in have).items()} == {s: n for s, n in given.items() if n}
+    for s in given:
+        mine = sorted((x.slot, x.rank) for x in have if x.source == s)
+        assert [k for _, k in mine] == list(range(len(mine)))
+
+
 def test_mixed_documents_hold_what_is_taken(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(i % 13)), f"s{i % 4}" if i % 5 else None) for i in range(200)]
     d = docs(spark, rows)
@@ -339,6 +468,62 @@ def test_shards(spark, shards):
     assert {x.law for x in out} == {"bytes"} and all(x.grown_shard is None for x in out)
 
 
+def naive_tree(rows, shards, tolerance=0.005):
+    """doc_id to shard, by recursion over plain lists."""
+    points = []
+    for i, t, _ in rows:
+        t = t or ""
+        b = t.encode()
+        n = len(b) + 1
+        log = lambda x: math.floor(math.log2(x) * (1 << 20))
+        digits, spaces = sum(map(t.count, "0123456789")), t.count(" ")
+        finger = xxhash.xxh64_intdigest(b, seed=42) >> 31
+        points.append((i, n, (log(n), log(len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1), log(n / (t.count("\n") + 1)), math.floor(digits / n * (1 << 30)), math.floor(spaces / n * (1 << 30)), finger)))
+    spread = lambda ps: [max(p[2][d] for p in ps) - min(p[2][d] for p in ps) for d in range(6)]
+    root, out = spread(points), {}
+
+    def cut(ps, d, want):
+        by = defaultdict(int)
+        for _, n, x in ps:
+            by[x[d]] += n
+        best, run = None, 0
+        values = sorted(by)
+        for k, v in enumerate(values):
+            run += by[v]
+            if run >= want or k == len(values) - 1:
+                over, under = run - want, want - (run - by[v])
+                return (values[k - 1], under) if k and under < over else (v, abs(over))
+        return best
+
+    def split(ps, first, n):
+        if n == 1 or not ps:
+            out.update({p[0]: first for p in ps})
+            return
+        total, wide = sum(p[1] for p in ps), spread(ps)
+        want = -(-total * (n // 2) // n)
+        turns = [*sorted(range(5), key=lambda d: -wide[d] / max(1, root[d])), 5]
+        best = None
+        for d in turns:
+            if best is not None and best[1] <= tolerance * total:
+                break
+            at, miss = cut(ps, d, want)
+            if best is None or miss < best[1]:
+                best = (at, miss, d)
+        at, _, d = best
+        split([p for p in ps if p[2][d] <= at], first, n // 2)
+        split([p for p in ps if p[2][d] > at], first + n // 2, n - n // 2)
+
+    split(points, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards,seed", [(8, 1), (5, 2), (8, 3)])
+def test_shards_against_a_plain_tree(spark, shards, seed):
+    r = random.Random(seed)
+    rows = [(i, "".join(r.choice("abcdé 12\n") for _ in range(r.choice([1, 5, 50, 500]))), None) for i in range(400)] + [(1000 + i, "one text with copies " * 9, None) for i in range(30)] + [(2000 + i, f"{i:04d} alike", None) for i in range(200)]
+    assert {x.doc_id: x.shard for x in kd_shards(docs(spark, rows), shards).collect()} == naive_tree(rows, shards)
+
+
 def test_shards_odd_tables(spark):
     import zlib
 

@@ -219,6 +219,26 @@ def served(body, head=b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\n"):
     return head + body
 
 
+def test_real_outputs(spark):
+    from tidelog.llm.sentencepiece_bpe import sentencepiece_encode
+
+    d, v = docs(spark), vocabulary()
+    texts = sorted(t or "" for t in TEXTS)
+    got = sentencepiece_encode(d, chunk=3).collect()
+    assert sorted(tuple(r.ids) for r in got) == sorted(tuple(v.sp.encode(t)) for t in texts) and sorted(r.decoded for r in got) == sorted(v.sp.decode(v.sp.encode(t)) for t in texts)
+    media = jpeg_media.media_files(d, chunk_bytes=2000).collect()
+    back = jpeg_media.read_media([bytes(r.media) for r in media], at_once=1)
+    assert sorted(p for p, _ in back) == sorted(jpeg_media.padded(t.encode()) for t in texts) and [f for _, f in back] == [r.feature for r in media]
+
+
+def test_a_wrong_cut_is_found():
+    v = MergeVocabulary(vocabulary().sp)
+    texts = ["some text of words", "x"]
+    v.check_whole(texts, v.encode_batch(texts))
+    with pytest.raises(ValueError):
+        v.check_whole(texts, [[1, 2], [3]])
+
+
 def test_records_of_servers_and_others():
     r = warc.ArcRecord("http://a/", "1.2.3.4", "20010203040506", "text/html", served(b"HTTP/1.1 is\r\n\r\nthe text"))
     ((head, block),) = warc.read_warc(warc.warc_record(r))

@@ -2,77 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
-from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import discard, forget_at_exit, kept, scratch_path
 from ..shipping import ship
 
+__all__ = ["WORD", "arrow_map", "by_weight", "discard", "forget_at_exit", "kept", "running_totals", "scratch_path", "small_batches", "table", "words_in"]
+
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: set[str] = set()
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_own = ""
+
+def words_in(text: Column) -> Column:
+    """The number of words of a text; null for null."""
+    return F.length(F.regexp_replace(F.regexp_replace(text, WORD, "a"), r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local
-    master that has none gets one of its own; a cluster without one is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _own
-    _own = _own or tempfile.mkdtemp(prefix="tidelog-")
-    return _own
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; the folder's owner cleans up
-        pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts the
-    lineage: later jobs reread files instead of recomputing lost partitions."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    forget_at_exit(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that `kept` returned and no later job reads."""
-    for df in frames:
-        path = _paths.pop(df, None)
-        if path:
-            _delete(df.sparkSession, path)
-            _made.discard(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: Arrow batches of at most so many rows in this session, so that an
     executor holds little of them at a time outside its heap."""
@@ -94,12 +47,6 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(lean, schema)
 
 
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    if path not in _made:
-        _made.add(path)
-        atexit.register(_delete, spark, path)
-
-
 def by_weight(sizes: Sequence[int], limit: int) -> Iterator[slice]:
     """Consecutive slices whose sizes add up to at most limit, or hold one item."""
     start, total = 0, 0

@@ -22,7 +22,6 @@ share. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,33 +40,59 @@ _odd = re.compile(r"[^\w\s.,;:!?'\")]+(?=\s|$)|[!?]{2,}(?=\s|$)")
 _ends = re.compile(r"[.!?](?=\s|$)")
 
 
+def _numbered(text: str, step: int = 1 << 20) -> tuple[np.ndarray, list[str]]:
+    """The words as numbers, and the distinct words; no more than about `step` characters
+    are cut into words at a time."""
+    known: dict[str, int] = {}
+    parts, start = [], 0
+    while start < len(text):
+        end = min(len(text), start + step)
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        parts.append(np.array([known.setdefault(w, len(known)) for w in text[start:end].split()], np.int64))
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), list(known)
+
+
+def _distinct_triples(ids: np.ndarray, words: int) -> int:
+    if words < 1 << 21:
+        return len(np.unique((ids[:-2] * words + ids[1:-1]) * words + ids[2:]))
+    return len(np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]]), axis=1).T)
+
+
+def _matches(pattern: re.Pattern, text: str) -> int:
+    return sum(1 for _ in pattern.finditer(text))
+
+
 def features(text: str) -> list[float]:
-    words = text.split()
-    n, chars = len(words), len(text)
+    """The measures of FEATURES. Beside the text itself they take some bytes a word."""
+    ids, distinct = _numbered(text)
+    n, chars = len(ids), len(text)
     if not n:
         return [0.0] * len(FEATURES)
-    counts = Counter(words)
+    counts = np.bincount(ids)
+    lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    loud = np.fromiter((len(w) > 1 and w.isupper() for w in distinct), bool, len(distinct))
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(len(w) for w in words)
+    letters = int((counts * lengths).sum())
     upper = sum(1 for c in text if c.isupper()) if not text.islower() else 0
-    triples = len(set(zip(words, words[1:], words[2:]))) / max(1, n - 2) if n > 2 else 1.0
     return [
         float(np.log1p(n)),
         letters / n,
-        float(np.log1p(max(map(len, counts)))),
+        float(np.log1p(lengths.max())),
         upper / letters,
-        len(_symbols.findall(text)) / chars,
+        _matches(_symbols, text) / chars,
         sum(map(text.count, "0123456789")) / chars,
-        len(counts) / n,
-        max(counts.values()) / n,
-        sum(map(str.__eq__, words, words[1:])) / n,
-        triples,
+        len(distinct) / n,
+        float(counts.max()) / n,
+        float((ids[1:] == ids[:-1]).sum()) / n,
+        _distinct_triples(ids, len(distinct)) / (n - 2) if n > 2 else 1.0,
         1 - len(set(lines)) / len(lines) if lines else 0.0,
-        len(_odd.findall(text)) / n,
-        len(_ends.findall(text)) / n,
+        _matches(_odd, text) / n,
+        _matches(_ends, text) / n,
         sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines) if lines else 0.0,
         text.count("|") / n,
-        sum(w.isupper() and len(w) > 1 for w in words) / n,
+        float(counts[loud].sum()) / n,
     ]
 
 

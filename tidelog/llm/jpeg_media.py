@@ -26,11 +26,12 @@ import hashlib
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,41 +261,63 @@ def average_hash(pixels: np.ndarray) -> str:
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 
-def read_media(stored: list[bytes]) -> list[tuple[bytes, str]]:
-    """Payload and feature of each stored form."""
-    pics: list[Picture] = []
-    owner: list[int] = []
+def read_media(stored: list[bytes], at_once: int = 8_000_000) -> list[tuple[bytes, str]]:
+    """Payload and feature of each stored form. Pictures are decoded together up to about
+    `at_once` bytes of scans; a long text's pictures come one after another."""
+    data: list[list[bytes]] = [[] for _ in stored]
+    features: list[list[str]] = [[] for _ in stored]
+    held: list[tuple[int, Picture]] = []
+
+    def flush() -> None:
+        for (i, pic), coefs in zip(held, decode([p for _, p in held]), strict=True):
+            v = coefs.reshape(-1)
+            data[i].append(np.where(v < 0, v + 255, v).astype(np.uint8).tobytes())
+            features[i].append(f"{pic.width}x{pic.height}:{average_hash(thumbnail(pic, coefs))}")
+        held.clear()
+
+    size = 0
     for i, raw in enumerate(stored):
         at = 0
         while at < len(raw):
-            pics.append(parse(raw, at))
-            owner.append(i)
-            at = pics[-1].end
-    data: list[list[bytes]] = [[] for _ in stored]
-    features: list[list[str]] = [[] for _ in stored]
-    for i, pic, coefs in zip(owner, pics, decode(pics), strict=True):
-        v = coefs.reshape(-1)
-        data[i].append(np.where(v < 0, v + 255, v).astype(np.uint8).tobytes())
-        features[i].append(f"{pic.width}x{pic.height}:{average_hash(thumbnail(pic, coefs))}")
+            held.append((i, parse(raw, at)))
+            at = held[-1][1].end
+            size += len(held[-1][1].data)
+            if size > at_once:
+                flush()
+                size = 0
+    flush()
     return [(b"".join(d), " ".join(f)) for d, f in zip(data, features, strict=True)]
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_columns(docs: DataFrame, chunk_bytes: int = 2_000_000) -> DataFrame:
-    """One row per document; see the module's text."""
+def _stored(docs: DataFrame, chunk_bytes: int, columns: Callable, schema: str) -> DataFrame:
+    """doc_id and what `columns` makes of texts (as bytes), stored forms, payloads and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            rows = []
-            for s in by_weight([len(t) + UNIT for t in texts], chunk_bytes):
-                stored = [write_media(padded(t)) for t in texts[s]]
-                for t, raw, (payload, feature) in zip(texts[s], stored, read_media(stored), strict=True):
-                    rows.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", *names])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+            for s in by_weight([n + UNIT for n in pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()], chunk_bytes):
+                part = b.slice(s.start, s.stop - s.start)
+                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                stored = [write_media(padded(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns(texts, stored, read_media(stored))], [x.split()[0] for x in schema.split(", ")])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+
+
+def media_files(docs: DataFrame, chunk_bytes: int = 2_000_000) -> DataFrame:
+    """One row per document: doc_id, the stored form, its feature."""
+    columns = lambda texts, stored, back: [pa.array(stored, pa.binary()), pa.array([f for _, f in back], pa.string())]
+    return _stored(docs, chunk_bytes, columns, "doc_id long, media binary, feature string")
+
+
+def media_columns(docs: DataFrame, chunk_bytes: int = 2_000_000) -> DataFrame:
+    """One row per document; see the module's text."""
+
+    def columns(texts: list[bytes], stored: list[bytes], back: list[tuple[bytes, str]]) -> list[pa.Array]:
+        rows = [(len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), f) for t, raw, (p, f) in zip(texts, stored, back, strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+    return _stored(docs, chunk_bytes, columns, SCHEMA)

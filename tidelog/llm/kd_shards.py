@@ -1,14 +1,16 @@
 """Sharding by a k-d tree over metadata, in DataFrame operations only.
 
-The dimensions are properties of the text: the binary logarithm of its UTF-8 bytes (in
-steps of 2^-20), its unsigned CRC-32 and 33 bits of its xxhash64. Equal texts have equal
+The dimensions are metadata of a text, all free of its language: the binary logarithms of
+its UTF-8 bytes, of its words and of its bytes a line, and the shares of digits and of
+spaces among its bytes, in whole steps of 2^-20 (2^-30 for shares). Equal texts have equal
 coordinates, so no split parts them. A node is split along its widest dimension, widths
 being taken relative to the whole table's, at the weighted median: the value up to which
-the bytes come nearest the left part's share. Where a heavy text (one with many copies)
-sits on that median and the split misses its share by more than `tolerance` of the node,
-the next widest dimension is tried and the best split holds. Splitting goes on until
-leaves reach the target bytes, total over `shards`; a node that holds an odd number of
-shards is split in proportion.
+the bytes come nearest the left part's share. Where the values on that median are too heavy
+and the split misses its share by more than `tolerance` of the node, the next widest
+dimension is tried, at last 33 bits of the text's xxhash64, which part texts that agree in
+all metadata; the best split holds, of equal ones the first. Splitting goes on until leaves
+reach the target bytes, total over `shards`; a node that holds an odd number of shards is
+split in proportion.
 
 Medians are distributed: one row per level and node with the extents, then histograms
 of 2^11 bins a digit, three digits for the 33 bits of a coordinate, summed by partial
@@ -31,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, running_totals
+from .common import kept, running_totals, words_in
 
 DIGIT = 11
 
@@ -95,9 +97,14 @@ def kd_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.005) -> Dat
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    points = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("w"), F.crc32(text).cast("long").alias("crc"), F.shiftrightunsigned(F.xxhash64(text), 31).alias("finger"))
-    points = kept(points.withColumn("wide", F.floor(F.log2(F.col("w").cast("double")) * (1 << 20)).cast("long")), "kd-points")
-    dims = ["wide", "crc", "finger"]
+    log = lambda x: F.floor(F.log2(x.cast("double")) * (1 << 20)).cast("long")
+    share = lambda n: F.floor(n.cast("double") / size * (1 << 30)).cast("long")
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    digits = F.octet_length(text) - F.octet_length(F.translate(text, "0123456789", ""))
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    metadata = [log(size).alias("wide"), log(words_in(text) + 1).alias("words"), log(size / lines).alias("long"), share(digits).alias("digits"), share(spaces).alias("spaces"), F.shiftrightunsigned(F.xxhash64(text), 31).alias("finger")]
+    points = kept(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("w"), F.crc32(text).cast("long").alias("crc"), *metadata), "kd-points")
+    dims = ["wide", "words", "long", "digits", "spaces", "finger"]
     nodes, leaves = [Node(0, shards, [])], []
     root: tuple = ()
     while nodes:
@@ -111,9 +118,9 @@ def kd_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.005) -> Dat
         axis, tries, want = {}, {}, {}
         for k, (total, *mm) in spread.items():
             width = [(mm[2 * i + 1] - mm[2 * i]) / max(1, root[2 * i + 2] - root[2 * i + 1]) for i in range(len(dims))]
-            tries[k] = sorted(range(len(dims)), key=lambda i: -width[i])
+            tries[k] = [*sorted(range(len(dims) - 1), key=lambda i: -width[i]), len(dims) - 1]
             want[k] = -(-total * (open_[k].shards // 2) // open_[k].shards)
-        for turn in range(len(dims)):  # the next widest only where a heavy text sits on the median
+        for turn in range(len(dims)):  # the next widest only where the median's values are too heavy
             again = {k: t[turn] for k, t in tries.items() if k not in cut or cut[k][1] > tolerance * spread[k][0]}
             for k, found in (_cuts(points, open_, dims, again, want) if again else {}).items():
                 if k not in cut or found[1] < cut[k][1]:

@@ -6,8 +6,8 @@ No piece of the vocabulary spans such a place (checked when the model is loaded;
 whole), so each unit is merged on its own: an agenda holds the adjacent symbol pairs
 whose concatenation is a piece, the highest score comes first, then the leftmost.
 What is left and no piece falls back to its bytes. Each unit that a worker sees for
-the first time is checked against the sentencepiece library in the Arrow batch, and
-a difference is an error; decoding is the library's.
+the first time is checked against the sentencepiece library in the Arrow batch, as is
+one whole text of every batch, and a difference is an error; decoding is the library's.
 
 Defined results: null and empty texts have no ids (n_tokens 0, hashes of the empty
 string); null or repeated doc_ids pass through, one row out per row in; an empty
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -141,6 +141,16 @@ class MergeVocabulary:
         return out
 
 
+    def check_whole(self, texts: list[str], ids: list[list[int]], most: int = 4000) -> None:
+        """One text of the batch as a whole, the longest up to `most` characters: that the
+        cuts are right, too."""
+        fits = [i for i, t in enumerate(texts) if len(t) <= most]
+        if self.check and fits:
+            i = max(fits, key=lambda i: len(texts[i]))
+            if ids[i] != self.sp.encode(texts[i]):
+                raise ValueError(f"the ids of {texts[i][:80]!r} differ from the library's")
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str | None = None) -> MergeVocabulary:
     import sentencepiece
@@ -156,18 +166,33 @@ def digest(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, chunk: int = 128) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def _encoded(docs: DataFrame, model_path: str | None, chunk: int, columns: Callable, schema: str) -> DataFrame:
+    """doc_id and what `columns` makes of the ids and decoded texts of `chunk` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_path)
         for b in batches:
-            n, h, d = [], [], []
             for at in range(0, b.num_rows, chunk):
-                ids = v.encode_batch([t or "" for t in b.column(1).slice(at, chunk).to_pylist()])
-                n += map(len, ids)
-                h += [digest(",".join([v.text_of[i] for i in x])) for x in ids]
-                d += [digest(x) for x in v.sp.decode(ids, num_threads=1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                part = b.slice(at, chunk)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids = v.encode_batch(texts)
+                v.check_whole(texts, ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns(v, ids, v.sp.decode(ids, num_threads=1))], [x.split()[0] for x in schema.split(", ")])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+
+
+def sentencepiece_encode(docs: DataFrame, model_path: str | None = None, chunk: int = 128) -> DataFrame:
+    """One row per document: doc_id, ids and the text decoded from them."""
+    columns = lambda v, ids, texts: [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+    return _encoded(docs, model_path, chunk, columns, "doc_id long, ids array<int>, decoded string")
+
+
+def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, chunk: int = 128) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Digests are made
+    in the batch, so ids and texts don't leave the worker."""
+
+    def columns(v: MergeVocabulary, ids: list[list[int]], texts: list[str]) -> list[pa.Array]:
+        return [pa.array(map(len, ids), pa.int64()), pa.array([digest(",".join([v.text_of[i] for i in x])) for x in ids], pa.string()), pa.array(map(digest, texts), pa.string())]
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, model_path, chunk, columns, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

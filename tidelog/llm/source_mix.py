@@ -29,15 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, running_totals
+from .common import kept, running_totals, words_in
 
 #: floor(2^63 / golden ratio): steps of the schedule, in units of 2^-63.
 GOLDEN = 5_700_357_409_661_599_241
 
 
 def _words() -> Column:
-    marks = F.coalesce(F.regexp_replace("text", WORD, "a"), F.lit(""))
-    return F.length(F.regexp_replace(marks, r"[\x20\x09-\x0D]+", "")).cast("long")
+    return F.coalesce(words_in(F.col("text")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:

@@ -26,11 +26,17 @@ from .common import arrow_map, by_weight
 SAFE = re.compile(r"(?<=\w) (?=\w)")
 
 
+def encoded_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def pieces(text: str, limit: int) -> list[str]:
-    """The text in parts of a little over `limit` characters, cut at safe places."""
+    """The text in parts of about `limit` UTF-8 bytes, by its mean bytes a character, cut at
+    safe places."""
+    step = max(1, limit * len(text) // max(1, encoded_length(text)))
     out, start = [], 0
-    while len(text) - start > limit:
-        m = SAFE.search(text, start + limit)
+    while len(text) - start > step:
+        m = SAFE.search(text, start + step)
         if not m:
             break
         out.append(text[start : m.start()])
@@ -62,7 +68,7 @@ def count_batch(texts: list[str], path: str | None, cut: int, batch_bytes: int)
         for p in pieces(t, cut):
             parts.append(p)
             owner.append(i)
-    for s in by_weight([len(p) for p in parts], batch_bytes):
+    for s in by_weight(list(map(encoded_length, parts)), batch_bytes):
         for i, e in zip(owner[s], tok.encode_batch_fast(parts[s], add_special_tokens=False), strict=True):
             counts[i] += len(e)
     return counts
