@@ -229,6 +229,54 @@ def test_maintenance(spark, tmp_path):
     assert store.maintain(spark, path, day, budget=1)["deleted"] == 30
 
 
+def test_restore_migrate_and_rebuild(spark, tmp_path):
+    import hashlib
+    from pathlib import Path
+
+    from tidelog.sources import recovery
+
+    logs = hours_of(spark, 6)
+    raw, parts, target = tmp_path / "raw", tmp_path / "parts", str(tmp_path / "s")
+    logs.withColumn("attributes", records.attr_json(F.col("attributes"))).repartition(3).write.parquet(str(raw))
+    parts.mkdir()
+    names = []
+    for p in sorted(Path(raw).glob("*.parquet")):
+        names.append(f"{hashlib.sha256(p.read_bytes()).hexdigest()}.parquet")
+        (parts / names[-1]).write_bytes(p.read_bytes())
+    (parts / ("0" * 64 + ".parquet")).write_bytes((parts / names[0]).read_bytes())
+    sizes = [(n, (parts / n).stat().st_size, spark.read.parquet(str(parts / n)).count()) for n in names] + [("f" * 64 + ".parquet", 1, 1)]
+    inventory = spark.createDataFrame([*sizes, ("0" * 64 + ".parquet", sizes[0][1], sizes[0][2])], "name string, size long, rows long")
+    verdicts = {r.name: r.verdict for r in recovery.restore(spark, str(parts), target, inventory).collect()}
+    assert [verdicts[n] for n in names] == ["restored"] * 3 and verdicts["f" * 64 + ".parquet"] == "missing" and verdicts["0" * 64 + ".parquet"] == "wrong_hash"
+    assert store.read(spark, target, []).count() == logs.count()
+    with pytest.raises(ValueError):
+        recovery.restore(spark, str(parts), target)
+    assert recovery.restore(spark, str(parts), target, inventory, force=True).count() == 5 and store.read(spark, target, []).count() == logs.count()
+    assert recovery.rebuilt_dictionary(spark, target).agg(F.sum("rows")).first()[0] == logs.count()
+    files, found = recovery.rebuilt_catalog(spark, target)
+    assert found == [] and files.count() == 6 and files.agg(F.min("rows")).first()[0] == 5
+    recovery.write_manifests(spark, target)
+    assert recovery.manifest(spark, target, "1970-01-01").count() == 6 and store.read(spark, target).count() == logs.count()
+    counters = spark.createDataFrame([(1, 77)], "counter long, template_id long")
+    old = logs.withColumn("template_id", F.when(F.col("service") == "s0", 1).otherwise(2).cast("long"))
+    assert recovery.migrate(old, counters, str(tmp_path / "new")) == {"rows": 30, "unknown_ids": 15}
+    assert sorted({r.template_id for r in store.read(spark, str(tmp_path / "new"), []).collect()}, key=str) == [77, None]
+
+
+def test_typed_columns_are_found_again(spark, tmp_path):
+    from tidelog.sources import recovery
+
+    path = str(tmp_path / "s")
+    store.write(hours_of(spark, 2), path, [typed.TypedColumn("attr_n", "n", "int64", "s1")])
+    assert [(c.column, c.key, c.type) for c in recovery.rebuilt_catalog(spark, path)[1]] == [("attr_n", "n", "int64")] and len(store.registry(spark, path)) == 1
+
+
+def test_backfill_ranges(spark):
+    for a, b in ((5, 5), (0, 32 * 86_400_000)):
+        with pytest.raises(ValueError):
+            scan.backfill(spark.range(1), a, b)
+
+
 def test_parts_are_verified(spark, tmp_path):
     import hashlib
     from pathlib import Path
@@ -298,3 +346,41 @@ def test_stream_error_shares(spark, tmp_path):
     df.coalesce(1).write.parquet(path)
     got = drain(jobs.error_shares(jobs.files(spark, path, df.schema)), tmp_path, "shares").collect()
     assert [r.bucket for r in got] == [12]
+
+
+def test_stream_findings_equal_batch(spark, tmp_path):
+    import random
+
+    from tidelog.streaming.jobs import service_findings
+
+    r = random.Random(2)
+    rows = []
+    for b in range(120):
+        for name in ("a", "b", "c"):
+            if name == "b" and 40 <= b < 70 or name == "c" and b % 7 == 3:
+                continue
+            warns = 90 if (name, b) in {("a", 50), ("c", 80)} else r.choice([2, 3, 4])
+            rows.append((name, b, 100, 60 if (name, b) == ("a", 90) else 2, warns))
+    schema = "service string, bucket long, total long, errors long, warns long"
+    path = tmp_path / "c"
+    for k in range(4):  # four batches, thirty buckets each
+        spark.createDataFrame([x for x in rows if x[1] // 30 == k], schema).coalesce(1).write.mode("append").parquet(str(path / f"p{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(path))
+    got = {(x.service, x.bucket, x.kind) for x in drain(service_findings(source), tmp_path, "found").collect()}
+    want = set()
+    for name in ("a", "b", "c"):
+        own = [x for x in rows if x[0] == name]
+        want |= {(name, x[0], x[1]) for x in signals.service_rows([(b, n) for _, b, n, _, _ in own], 119, name)[0]}
+        want |= {(name, x[0], x[1]) for x in signals.rate_rows([(b, w) for _, b, _, _, w in own], 119, name)}
+        want |= {(name, x[0], x[1]) for x in signals.share_rows([(b, n, e) for _, b, n, e, _ in own], name)}
+    assert got == want and {k for *_, k in got} == {"silence", "rate", "error_share"}
+
+
+def test_stream_context_equals_batch(spark, stream, tmp_path):
+    from tidelog.operators import context
+
+    batch, source = stream
+    got = {bytes(x.event_id): (x.context_lines, x.flow) for x in drain(jobs.context_windows(source(), age_ns=3600 * 1_000_000_000), tmp_path, "windows").collect()}
+    want = {bytes(x.event_id): len(x.context) for x in context.windows(batch, age_ns=3600 * 1_000_000_000).collect()}
+    assert {k: n for k, (n, _) in got.items()} == want and any(want.values())
+    assert all((f is None) == (n == 0) for n, f in got.values())

@@ -136,3 +136,18 @@ def shed(logs: DataFrame, capacity: int, pressure: str = "normal") -> DataFrame:
     fits = (F.row_number().over(second) <= capacity) | (rank == 0)
     calm = F.lit(pressure != "critical") | (level_class(F.col("severity")) != "debug")
     return logs.withColumn("admitted", fits & calm)
+
+
+def inventory(parts: DataFrame, node: str | None = None) -> DataFrame:
+    """What a catalog says its parts are: name, size, rows; of one node, if given."""
+    rows = parts if node is None else parts.where(F.col("node") == node)
+    return rows.select("name", F.col("bytes").alias("size"), "rows")
+
+
+def acknowledged(requests: DataFrame, synced: int, kept: int = 10_000) -> DataFrame:
+    """Requests (channel, ack_id, last: the number of their last record) with `acked`: true
+    once all records up to `last` are written. A channel remembers its newest `kept` ids;
+    what it has forgotten isn't acknowledged."""
+    newest = requests.groupBy(F.col("channel").alias("c")).agg(F.max("ack_id").alias("newest"))
+    out = requests.join(newest, F.col("channel").eqNullSafe(F.col("c"))).drop("c")
+    return out.withColumn("acked", (F.col("last") <= synced) & (F.col("ack_id") > F.col("newest") - kept)).drop("newest")

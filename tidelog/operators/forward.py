@@ -54,6 +54,18 @@ def collector_events(windows: DataFrame) -> DataFrame:
     return windows.select("event_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def window_lines(captured: DataFrame) -> DataFrame:
+    """Per error a line of JSON: its window, or the error alone with the reason why its
+    context was left out and the flow of the window it belongs to."""
+    line = lambda ts, severity, template, body: F.struct(ts.alias("ts"), severity.alias("severity"), template.alias("template_id"), body.alias("body"))
+    error = line(F.col("observed_ns"), F.col("severity"), F.col("template_id"), F.col("body")).alias("error")
+    context = F.transform("context", lambda c: line(c["observed_ns"], c["severity"], c["template_id"], c["body"]))
+    flow, keep = hex16(F.col("flow_hash")), {"ignoreNullFields": "false"}
+    whole = F.struct(error, context.alias("context"), F.size("context").alias("context_lines"), F.col("key_tier"), flow.alias("flow_hash"), F.col("suppressed").alias("collapsed"), F.col("service"))
+    bare = F.struct(error, F.slice(context, 1, 0).alias("context"), F.lit(0).alias("context_lines"), F.col("status").alias("context_suppressed"), flow.alias("flow_hash"), F.col("service"))
+    return captured.select("event_id", F.when(F.col("status") == "window", F.to_json(whole, keep)).otherwise(F.to_json(bare, keep)).alias("value"))
+
+
 def collector_aggregates(rollups: DataFrame) -> DataFrame:
     """Per vendor rollup the JSON of one event that stands for all of its records."""
     event = F.struct("template_id", "template", "service", "count", _secs(F.col("first_ns")).alias("first_seen"), _secs(F.col("last_ns")).alias("last_seen"), "example")

@@ -106,6 +106,24 @@ def recent(logs: DataFrame, now_ns: int, window_secs: int, service: str | None =
     return scan(logs, Query(max(0, now_ns - window_secs * 1_000_000_000), None, service, min_severity, None, limit))
 
 
+def page(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset to offset + limit of an order; no more than those reach one task."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+#: The longest range that a backfill may ask for.
+MOST_DAYS = 31
+
+
+def backfill(logs: DataFrame, from_ms: int, to_ms: int, min_severity: int = 0) -> DataFrame:
+    """Everything of a range again, oldest first, of at least a severity."""
+    if to_ms <= from_ms:
+        raise ValueError("the range must end after it begins")
+    if to_ms - from_ms > MOST_DAYS * 86_400_000:
+        raise ValueError(f"a backfill covers {MOST_DAYS} days at most")
+    return scan_each(logs, Query(from_ms * 1_000_000, to_ms * 1_000_000, min_severity=min_severity or None))
+
+
 def file_table(logs: DataFrame) -> DataFrame:
     """A row for each partition: rows and the bounds of both clocks."""
     return logs.groupBy(*PATH).agg(

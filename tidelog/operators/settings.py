@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import math
 import re
+from collections.abc import Callable
 
 #: Bounds of the document's numbers.
 MAX_SEVERITY, MAX_RETENTION, MAX_QUEUE, MAX_WAIT_MS, SAFE_QUEUE = 255, 10 * 365 * 86_400, 10_000_000, 60_000, 1_000
@@ -36,38 +37,42 @@ def leaves(doc: dict) -> dict[str, object]:
     return out
 
 
+def _names(doc: dict, upto: int) -> list[str]:
+    return [r["name"].lower() for r in doc["retention"][:upto]]
+
+
+def _finite(*values: float) -> bool:
+    return all(map(math.isfinite, values))
+
+
+#: What each leaf must be: path (a * stands for every bucket), a test of its value in the
+#: document at that bucket, and what to say. A path's tests run in order; all that fail are told.
+RULES: list[tuple[str, Callable[[object, dict, int], bool], str]] = [
+    ("retention[*].name", lambda v, d, i: bool(re.fullmatch(r"(?=.*[A-Za-z])[A-Za-z0-9_-][A-Za-z0-9._-]{0,63}", v)), "not a usable folder name"),
+    ("retention[*].name", lambda v, d, i: v.lower() not in _names(d, i), "names differ, letter case apart"),
+    ("retention[*].min_severity", lambda v, d, i: 0 <= v <= MAX_SEVERITY, f"0 to {MAX_SEVERITY}"),
+    ("retention[*].min_severity", lambda v, d, i: i > 0 or v == 0, "the first bucket starts at 0"),
+    ("retention[*].min_severity", lambda v, d, i: i == 0 or v > d["retention"][i - 1]["min_severity"], "buckets rise by severity"),
+    ("retention[*].retention_secs", lambda v, d, i: 1 <= v <= MAX_RETENTION, f"1 to {MAX_RETENTION} seconds"),
+    ("storage.disk_budget_bytes", lambda v, d, i: v > 0, "more than 0"),
+    ("storage.reclaim_target", lambda v, d, i: _finite(v) and v > 0, "more than 0"),
+    ("storage.reclaim_target", lambda v, d, i: not _finite(v) or v <= 0 or v < d["storage"]["high_water"], "below high_water"),
+    ("storage.high_water", lambda v, d, i: _finite(v) and v < d["storage"]["critical_water"], "below critical_water"),
+    ("storage.critical_water", lambda v, d, i: _finite(v) and v <= 1, "at most 1"),
+    ("ingest.queue_capacity", lambda v, d, i: 1 <= v <= MAX_QUEUE, f"1 to {MAX_QUEUE}"),
+    ("ingest.critical_enqueue_timeout_ms", lambda v, d, i: v <= MAX_WAIT_MS, f"at most {MAX_WAIT_MS}"),
+    ("pushdown.trigger_severity", lambda v, d, i: 0 <= v <= MAX_SEVERITY, f"0 to {MAX_SEVERITY}"),
+]
+
+
 def problems(doc: dict) -> list[tuple[str, str]]:
     """(path, what is wrong with it) of each fault."""
-    out: list[tuple[str, str]] = []
-
-    def need(ok: bool, path: str, why: str) -> None:
-        if not ok:
-            out.append((path, why))
-
-    rules = doc["retention"]
-    need(bool(rules), "retention", "define at least one bucket")
-    for i, r in enumerate(rules):
-        at = f"retention[{i}]."
-        need(bool(re.fullmatch(r"(?=.*[A-Za-z])[A-Za-z0-9_-][A-Za-z0-9._-]{0,63}", r["name"])), at + "name", "not a usable folder name")
-        need(0 <= r["min_severity"] <= MAX_SEVERITY, at + "min_severity", f"0 to {MAX_SEVERITY}")
-        need(1 <= r["retention_secs"] <= MAX_RETENTION, at + "retention_secs", f"1 to {MAX_RETENTION} seconds")
-        if i == 0:
-            need(r["min_severity"] == 0, at + "min_severity", "the first bucket starts at 0")
-        else:
-            need(r["min_severity"] > rules[i - 1]["min_severity"], at + "min_severity", "buckets rise by severity")
-        need(r["name"].lower() not in [x["name"].lower() for x in rules[:i]], at + "name", "names differ, letter case apart")
-    s = doc["storage"]
-    need(s["disk_budget_bytes"] > 0, "storage.disk_budget_bytes", "more than 0")
-    target = s["reclaim_target"]
-    if not (math.isfinite(target) and target > 0):
-        need(False, "storage.reclaim_target", "more than 0")
-    else:
-        need(target < s["high_water"], "storage.reclaim_target", "below high_water")
-    need(math.isfinite(s["high_water"]) and s["high_water"] < s["critical_water"], "storage.high_water", "below critical_water")
-    need(math.isfinite(s["critical_water"]) and s["critical_water"] <= 1, "storage.critical_water", "at most 1")
-    need(1 <= doc["ingest"]["queue_capacity"] <= MAX_QUEUE, "ingest.queue_capacity", f"1 to {MAX_QUEUE}")
-    need(doc["ingest"]["critical_enqueue_timeout_ms"] <= MAX_WAIT_MS, "ingest.critical_enqueue_timeout_ms", f"at most {MAX_WAIT_MS}")
-    need(0 <= doc["pushdown"]["trigger_severity"] <= MAX_SEVERITY, "pushdown.trigger_severity", f"0 to {MAX_SEVERITY}")
+    out = [] if doc["retention"] else [("retention", "define at least one bucket")]
+    for path, value in leaves(doc).items():
+        at = re.search(r"\[(\d+)\]", path)
+        for rule, test, why in RULES:
+            if rule == re.sub(r"\[\d+\]", "[*]", path) and not test(value, doc, int(at[1]) if at else 0):
+                out.append((path, why))
     return out
 
 
@@ -113,14 +118,15 @@ def pending_restart(doc: dict, running: dict) -> dict[str, object]:
     return {p: now.get(p) for p, v in leaves(doc).items() if p in RESTART and now.get(p) != v}
 
 
+#: Leaves whose change can lose records: when, from the value that runs to the proposed one.
+LOSSY: dict[str, Callable[[object, object], bool]] = {
+    "ingest.queue_capacity": lambda now, then: now != then and then < SAFE_QUEUE,
+    "ingest.critical_enqueue_timeout_ms": lambda now, then: now != then and then == 0,
+    "pushdown.enabled": lambda now, then: bool(now) and not then,
+}
+
+
 def lossy(current: dict, proposed: dict) -> list[str]:
     """Changes that lose records."""
-    out = []
-    q = proposed["ingest"]["queue_capacity"]
-    if q < SAFE_QUEUE and q != current["ingest"]["queue_capacity"]:
-        out.append("ingest.queue_capacity")
-    if proposed["ingest"]["critical_enqueue_timeout_ms"] == 0 != current["ingest"]["critical_enqueue_timeout_ms"]:
-        out.append("ingest.critical_enqueue_timeout_ms")
-    if current["pushdown"]["enabled"] and not proposed["pushdown"]["enabled"]:
-        out.append("pushdown.enabled")
-    return out
+    now, then = leaves(current), leaves(proposed)
+    return [path for path, loses in LOSSY.items() if loses(now[path], then[path])]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, masking, severity, times
-from ..operators import catalog, context, dictionary, forward, mining, planner, policy, rollup, scan, shapes, signals, suggestions, typed
+from ..operators import catalog, context, dictionary, forward, mining, planner, policy, reports, rollup, scan, shapes, signals, suggestions, typed
 from ..sources import lines, receivers, records
 from . import findings_sql as f
 from . import sqltext as s
@@ -1045,3 +1045,76 @@ def frequent_services(spark: SparkSession, d: str) -> DataFrame:
 @query(f.storm_sql("SELECT status, CASE WHEN status = 'window' THEN 'context' ELSE 'bare' END AS tracker, CASE WHEN status = 'window' THEN 'context' ELSE 'aggregate' END AS collector, count(*) AS n FROM told GROUP BY ALL", *_WINDOWS))
 def dispatch_shapes(spark: SparkSession, d: str) -> DataFrame:
     return forward.shaped(_captured(spark, d)).groupBy("status", "tracker", "collector").agg(F.count("*").alias("n"))
+
+
+# --- reports, pages and what a store is asked for now and then ---------------------------
+
+
+@query(ids_sql("SELECT template, template_id, count(*) AS n FROM l GROUP BY ALL ORDER BY n DESC, template LIMIT 2 OFFSET 2"))
+def template_at_rank(spark: SparkSession, d: str) -> DataFrame:
+    counts = labelled(spark, d).groupBy("template", "template_id").agg(F.count("*").alias("n"))
+    return scan.page(counts, [F.desc("n"), "template"], 2, 2)
+
+
+@query(s.with_logs(f"SELECT id, ts_ns, severity, body FROM logs WHERE ts_ns >= {LO} AND ts_ns < {HI} AND severity >= 13"))
+def backfill_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = scan.backfill(stored(spark, d), LO // 1_000_000, HI // 1_000_000, 13)
+    return rows.select(hex_("event_id", "id"), F.col("timestamp_ns").alias("ts_ns"), "severity", "body")
+
+
+@query(
+    f.storm_sql(
+        f"SELECT id, status = 'window' AS whole, CASE WHEN status <> 'window' THEN status END AS reason, ts_ns AS at_ns, template_id, body, CASE WHEN status = 'window' THEN lines ELSE 0 END AS context_lines, CASE WHEN path IS NOT NULL THEN {_FLOW} END AS flow, CASE WHEN status = 'window' THEN suppressed END AS collapsed, CASE WHEN status = 'window' THEN bodies ELSE '' END AS context, service FROM told",
+        *_WINDOWS,
+    )
+)
+def pushdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader finds in the lines of JSON."""
+    line = "ts: bigint, severity: int, template_id: bigint, body: string"
+    schema = f"error struct<{line}>, context array<struct<{line}>>, context_lines bigint, context_suppressed string, flow_hash string, collapsed bigint, service string"
+    got = forward.window_lines(_captured(spark, d)).select("event_id", F.from_json("value", schema).alias("e"))
+    return got.select(
+        hex_("event_id", "id"), F.col("e.context_suppressed").isNull().alias("whole"), F.col("e.context_suppressed").alias("reason"), F.col("e.error.ts").alias("at_ns"), F.col("e.error.template_id").alias("template_id"), F.col("e.error.body").alias("body"),
+        "e.context_lines", F.col("e.flow_hash").alias("flow"), "e.collapsed", F.array_join(F.transform("e.context", lambda c: c["body"]), "/").alias("context"), "e.service",
+    )
+
+
+_SPAN = "z AS (SELECT min(min_ts) AS low, max(max_ts) AS high, count(*) AS n, sum(rows) AS whole FROM f)"
+
+
+@query(
+    s.with_logs(
+        f"SELECT window_ns, count(*) FILTER (WHERE hit) / (24.0::DOUBLE * any_value(n)) AS files_read, sum(rows) FILTER (WHERE hit) / (24.0::DOUBLE * any_value(whole)) AS rows_read FROM (SELECT window_ns, rows, n, whole, max_ts >= low + (high - low) * i // 24 AND min_ts <= low + (high - low) * i // 24 + window_ns AS hit FROM f, z, range(24) t(i), (VALUES ({s.HOUR}::BIGINT), ({24 * s.HOUR}::BIGINT)) w(window_ns)) GROUP BY window_ns",
+        _FILES,
+        _SPAN,
+    )
+)
+def prune_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return reports.prune_analysis(files(spark, d), [s.HOUR, 24 * s.HOUR])
+
+
+@query(s.with_logs("SELECT count(*) AS files, sum(rows)::BIGINT AS rows, median(c) AS median, avg(c) AS mean, max(c) AS most FROM (SELECT rows, (max_ts - min_ts) / (high - low)::DOUBLE AS c FROM f, z)", _FILES, _SPAN))
+def file_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return reports.coverage(files(spark, d))
+
+
+@query(s.with_logs("SELECT count(*) AS records, sum(octet_length(encode(body)) + 1)::BIGINT AS raw_bytes, 100000::BIGINT AS stored_bytes, sum(octet_length(encode(body)) + 1) / count(*) AS raw_per_record, 100000 / count(*) AS stored_per_record, sum(octet_length(encode(body)) + 1) / 100000 AS ratio FROM logs"))
+def space_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.space(logs(spark, d), 100_000)
+
+
+@query(s.with_logs("SELECT name, bytes AS size, rows FROM p WHERE node = 'n2'", _FILES, _PARTS))
+def inventory_read(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.inventory(parts(spark, d), "n2")
+
+
+@query("SELECT user_id AS channel, event_id AS ack_id, event_id * 3 <= 12000 AND event_id > max(event_id) OVER (PARTITION BY user_id) - 4000 AS acked FROM events")
+def acknowledgements(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    asked = e.select(F.col("user_id").alias("channel"), F.col("event_id").alias("ack_id"), (F.col("event_id") * 3).alias("last"))
+    return catalog.acknowledged(asked, 12_000, 4_000).select("channel", "ack_id", "acked")
+
+
+@query(s.with_logs("SELECT substr(hour, 1, 10) AS day, count(*) AS files, sum(rows)::BIGINT AS rows FROM f GROUP BY 1", _FILES))
+def day_manifests(spark: SparkSession, d: str) -> DataFrame:
+    return files(spark, d).groupBy(F.substring("hour", 1, 10).alias("day")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
