@@ -1118,3 +1118,6 @@ def acknowledgements(spark: SparkSession, d: str) -> DataFrame:
 @query(s.with_logs("SELECT substr(hour, 1, 10) AS day, count(*) AS files, sum(rows)::BIGINT AS rows FROM f GROUP BY 1", _FILES))
 def day_manifests(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).groupBy(F.substring("hour", 1, 10).alias("day")).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
+from . import stored as _stored  # noqa: E402, F401  registers its queries
