@@ -92,12 +92,12 @@ def test_mined_rows(spark, exact):
 
 
 def replayed(rows, config=mining.MinerConfig()):
-    """Event time to (template_id, template, is_new): every line in arrival order. The cap
-    holds per service and token count."""
+    """Event time to (template_id, template, is_new): every line in arrival order, one miner
+    for each service."""
     ms, out = {}, {}
     for x in sorted(rows, key=lambda x: x.observed_ns):
         tokens = mask_line(x.body)[0]
-        m = ms.setdefault((x.service, len(tokens)), mining.Miner(config))
+        m = ms.setdefault(x.service, mining.Miner(config))
         number, new = m.add(tokens)
         out[x.observed_ns] = (m.ids.get(number), m.templates[number].text if number else None, new)
     return out
@@ -113,6 +113,24 @@ def test_repeats_carry_the_widened_template(spark):
     assert {t: (x.template_id, x.template, x.is_new) for t, x in rows.items()} == replayed(rows.values())
 
 
+@pytest.mark.parametrize("scope", [[], ["service"]])
+def test_the_cap_holds_over_all_token_counts(spark, scope):
+    """Against one miner for each scope that sees every line."""
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(t, 9, " ".join(r.choice(words) for _ in range(r.choice([1, 2, 3]))), r.choice(["a", "b"])) for t in range(300)]
+    config = mining.MinerConfig(max_templates=12)
+    miners: dict = {}
+    want = []
+    for t, _, body, service in rows:
+        m = miners.setdefault(service if scope else 0, mining.Miner(config))
+        number, new = m.add(mask_line(body)[0])
+        want.append((t * S, m.templates[number].text if number else None, new))
+    out = mining.mine_templates(logs(spark, rows), scope, ["observed_ns", "event_id"], config=config)
+    assert sorted(((x.observed_ns, x.template, x.is_new) for x in out.collect()), key=str) == sorted(want, key=str)
+    assert mining.untemplated(out).first().n == sum(m.untemplated for m in miners.values()) > 0
+
+
 @pytest.mark.parametrize("seed,config", [(s, c) for s in range(3) for c in ({}, {"similarity": 0.5}, {"similarity": 0.5, "max_templates": 3}, {"similarity": 0.4, "max_children": 2}, {"similarity": 2.0})])
 def test_mining_equals_a_replay_of_every_line(spark, seed, config):
     r = random.Random(seed)

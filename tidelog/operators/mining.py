@@ -20,11 +20,11 @@ each masked line keeps what it got at its first arrival.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shape_hash_of
@@ -122,9 +122,9 @@ class Miner:
         node = self._leaf(tokens)
         return node.templates if node else []
 
-    def add(self, tokens: list[str], at_ns: int = 0, times: int = 1, last_ns: int | None = None) -> tuple[int | None, bool]:
+    def add(self, tokens: list[str], at_ns: int = 0, times: int = 1, last_ns: int | None = None, full: bool = False) -> tuple[int | None, bool]:
         """The number of the template that the masked line joins, and whether it is new;
-        (None, False) for an empty line or beyond the cap."""
+        (None, False) for an empty line or beyond the cap, which `full` says is reached."""
         self.seen += times
         if not tokens:
             return None, False
@@ -142,7 +142,7 @@ class Miner:
                 t.tokens = wider
                 self._note(t)
             return best, False
-        if len(self.templates) >= self.config.max_templates:
+        if full or len(self.templates) >= self.config.max_templates:
             self.untemplated += times
             return None, False
         text = " ".join(tokens)
@@ -187,24 +187,25 @@ def _moment(values: Iterable) -> tuple:
 
 def _lines(keys: list[str], config: MinerConfig):
     """The replay of every line, for batches in which a group's rows are together and in
-    order. Between two changes of a miner equal lines have equal results."""
+    order; `__full` says that the cap is reached by then. Between two changes of a miner
+    equal lines have equal results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, miner, seen, at = None, Miner(config), {}, 0
         for batch in batches:
             rows = []
-            for *now, key in zip(*(batch.column(k).to_pylist() for k in (*keys, "__key"))):
+            for *now, key, full in zip(*(batch.column(k).to_pylist() for k in (*keys, "__key", "__full"))):
                 if now != group:
                     group, miner, seen, at = now, Miner(config), {}, 0
-                row = seen.get(key)
+                row = seen.get((key, full))
                 if row is None:
-                    number, new = miner.add(key.split("\x1f"))
+                    number, new = miner.add(key.split("\x1f"), full=full)
                     t = miner.templates.get(number)
                     row = (miner.ids[number], t.text, t.lineage_id, False) if t else (None, None, None, False)
                     if miner.changes != at:
                         seen, at = {}, miner.changes
                     else:
-                        seen[key] = row
+                        seen[key, full] = row
                     row = (*row[:3], new)
                 rows.append(row)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
@@ -214,13 +215,30 @@ def _lines(keys: list[str], config: MinerConfig):
     return run
 
 
+def _capped(rows: DataFrame, cuts: DataFrame | None, scope: list[str], at: Column) -> DataFrame:
+    """Adds `__full`: the scope's cap was reached before the row came. Cuts are a row for
+    each scope that has more templates than the cap."""
+    if cuts is None:
+        return rows.withColumn("__full", F.lit(False))
+    same = F.lit(True)
+    for i, c in enumerate(scope):
+        same = same & F.col(c).eqNullSafe(F.col(f"__s{i}"))
+    out = rows.join(cuts, same, "left") if scope else rows.crossJoin(cuts)  # without a scope there is one cut
+    return out.withColumn("__full", F.coalesce(at >= F.col("__cut"), F.lit(False))).drop("__cut", *(f"__s{i}" for i in range(len(scope))))
+
+
+def untemplated(mined: DataFrame, body: str = "body") -> DataFrame:
+    """One row: how many records with text have no template, for want of room under the cap."""
+    return mined.where(F.col("template_id").isNull() & (F.trim(body) != "")).agg(F.count("*").alias("n"))
+
+
 def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: str = "body", config: MinerConfig = MinerConfig(), exact: bool = True) -> DataFrame:
     """Adds template_id and template (as after this line), lineage_id, is_new and params
     to each record. `order` are the columns of arrival, `scope` those that part miners.
     Lines without tokens have nulls. Columns of these names that come in are replaced."""
     ship(logs.sparkSession)
     logs = logs.drop("template_id", "template", "lineage_id", "is_new", "params")
-    keys = [*scope, "__n"]
+    keys, roomy = [*scope, "__n"], replace(config, max_templates=config.max_templates + 1)
 
     def prepared(rows: DataFrame, raw: str | None = None) -> DataFrame:
         return mask_key(rows, body, "__key", raw).withColumn("__n", F.size(split_key(F.col("__key")))).withColumn("__at", F.struct(*order))
@@ -230,10 +248,10 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(since, kind="stable", na_position="first").reset_index(drop=True)
-        miner, shapes, states, rows = Miner(config), [], {}, []
-        for i, (key, times) in enumerate(zip(pdf["__key"], pdf["__times"])):
+        miner, shapes, states, rows = Miner(roomy), [], {}, []
+        for i, (key, times, full) in enumerate(zip(pdf["__key"], pdf["__times"], pdf["__full"])):
             tokens = key.split("\x1f")
-            number, new = miner.add(tokens, 0, int(times))
+            number, new = miner.add(tokens, 0, int(times), full=bool(full))
             t = miner.templates.get(number)
             of = states.setdefault(number, [])
             if t and (not of or of[-1][1] != miner.ids[number]):
@@ -242,7 +260,7 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
             rows.append((i, None, i, *(of[-1][1:] if t else (None, None)), t.lineage_id if t else None, new, len(of) - 1, number))
         opened = exact and not _settled(miner, shapes)
         if opened:
-            rows = [(i, None, i, None, None, None, False) for i in range(len(rows))]
+            rows = [(i, None, i, None, None, None, r[6]) for i, r in enumerate(rows)]
         elif exact:  # a row for each state of its template that a shape lives to see
             first, end = ([_moment(v) for v in zip(*(pdf[c] for c in names))] for names in (since, last))
             told = []
@@ -269,11 +287,25 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     shapes = prepared(logs.select(*dict.fromkeys([*scope, *order, body]))).where("__n > 0").groupBy(*keys, "__key").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__times"))
     shapes = shapes.select(*keys, "__key", "__times", *(F.col(c).alias(n) for c, n in first_last))
     schema = ", ".join([*(f"`{s}` {types[s]}" for s in scope), "__n int, __key string", *(f"{n} {types[o]}, {u} {types[o]}" for o, n, u in zip(order, since, until)), f"__ends boolean, __open boolean, {_OUT}"])
-    named = shapes.groupBy(*keys).applyInPandas(label, schema)
     struct = lambda names: F.struct(*(F.col(f).alias(o) for o, f in zip(order, names)))
-    named = named.select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(scope)), F.col("__key").alias("__k"), struct(since).alias("__since"), struct(until).alias("__until"), "__ends", "__open", "template_id", "template", "lineage_id", "is_new")
-    # a written table has a known size: while it is small, it goes to the lines
-    named = kept(named.withColumn("__h", F.xxhash64("__k")), "mined-shapes")
+
+    def named_by(cuts: DataFrame | None) -> DataFrame:
+        """The states of each shape's template; a written table, whose size is known: while
+        it is small, it goes to the lines."""
+        found = _capped(shapes, cuts, scope, struct(since)).groupBy(*keys).applyInPandas(label, schema)
+        found = found.select(*(F.col(s).alias(f"__s{i}") for i, s in enumerate(scope)), F.col("__key").alias("__k"), struct(since).alias("__since"), struct(until).alias("__until"), "__ends", "__open", "template_id", "template", "lineage_id", "is_new", F.xxhash64("__key").alias("__h"))
+        return kept(found, "mined-shapes")
+
+    # the cap holds for a scope's templates of all token counts together: from the moment on at
+    # which one more would be made (in groups that lines replay: by their shapes), none is
+    named, cuts = named_by(None), None
+    born = Window.partitionBy(*(f"__s{i}" for i in range(len(scope)))).orderBy("__since")
+    births = named.where("is_new").withColumn("__rank", F.row_number().over(born))
+    over = births.where(F.col("__rank") == config.max_templates + 1).select(*(f"__s{i}" for i in range(len(scope))), F.col("__since").alias("__cut"))
+    if over.limit(1).count():
+        cuts = kept(over, "mined-cuts")
+        named = named_by(cuts)
+    masked = _capped(masked, cuts, scope, F.col("__at"))
     masked = masked.withColumn("__hash", F.xxhash64("__key"))
     on = (F.col("__hash") == F.col("__h")) & (F.col("__key") == F.col("__k"))
     for i, s in enumerate(scope):
@@ -285,7 +317,7 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     if exact and named.where("__open").limit(1).count():
         rows = out.where("__open").drop("__open", "__at", "template_id", "template", "lineage_id", "is_new")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + _OUT
-        rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_lines(keys, config), schema)
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(_lines(keys, roomy), schema)
         out = out.where("__open is null or not __open").drop("__open", "__at").unionByName(rows)
     wild = F.split("template", " ")
     slots = F.arrays_zip(wild.alias("t"), split_key(F.col("__key")).alias("m"), F.when(F.col("__key") != "", F.split("__raw", MARK)).otherwise(F.array().cast("array<string>")).alias("r"))
