@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..scratch import discard, forget_at_exit, kept, scratch_path
 from ..shipping import ship
 
-__all__ = ["WORD", "arrow_map", "by_weight", "discard", "forget_at_exit", "kept", "running_totals", "scratch_path", "small_batches", "table", "words_in"]
+__all__ = ["WORD", "arrow_map", "by_weight", "discard", "forget_at_exit", "kept", "running_totals", "scratch_path", "table", "words_in"]
 
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,22 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: Arrow batches of at most so many rows in this session, so that an
-    executor holds little of them at a time outside its heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers' path."""
+def arrow_map(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with this package on the workers' path. Spark bounds its batches by bytes;
+    `run` gets them in slices of at most `rows` rows, so that few texts become Python
+    objects at a time."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, max(1, b.num_rows), rows):
+                yield b.slice(at, rows)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(slices(batches))
         pa.default_memory_pool().release_unused()  # workers are used again: give it back
 
     return df.mapInArrow(lean, schema)
