@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from tidelog.plans import catalogue
 
-FAST = ["spine", "scan_limited", "issue_list", "template_dictionary", "rollup_records", "deterministic_sample", "context_lines", "first_findings", "mined_templates", "reclaim", "policy_impact", "gap_percentiles", "collector_bodies", "token_classes"]
+FAST = ["spine", "scan_limited", "issue_list", "template_dictionary", "rollup_records", "deterministic_sample", "context_lines", "first_findings", "mined_templates", "reclaim", "policy_impact", "gap_percentiles", "collector_bodies", "token_classes", "mined_lines", "context_windows", "pushdown_lines", "store_scan_limited", "stream_rollups", "prune_analysis"]
 
 
 def test_entry(spark, sf):
