@@ -95,7 +95,7 @@ def _sorted(rows: DataFrame, *spread: Column) -> DataFrame:
 
 def _save(rows: DataFrame, path: str, mode: str, **more: object) -> None:
     writer = rows.write.mode(mode).partitionBy(*PATH)
-    options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.bloom.filter.enabled#trace_id": "true", "parquet.block.size": 16 << 20}
+    options = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.bloom.filter.enabled#trace_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": 16 << 20}
     for k, v in (options | {f"parquet.enable.dictionary#{c}": "false" for c in CLOCKS} | more).items():
         writer = writer.option(k, str(v))
     writer.parquet(path)
@@ -104,7 +104,8 @@ def _save(rows: DataFrame, path: str, mode: str, **more: object) -> None:
 def write(logs: DataFrame, path: str, columns: list[TypedColumn] = [], mode: str = "append", tenant: str = "default", index: str = "main", node: str = "n0", batch: str | None = None) -> None:  # noqa: B006
     """Writes records, sorted in each file, to their event hours. Rows are dealt out by
     partition and then by service, so an hour that holds a third of all rows is written
-    by several tasks. Clocks are delta-encoded, traces get a bloom filter. A write that
+    by several tasks. Clocks are delta-encoded, traces get a bloom filter as large as a file's
+    traces need. A write that
     names its `batch` replaces what an earlier one of that name has written."""
     out = encode(with_partitions(logs, tenant, index, node), columns) if columns else with_partitions(logs, tenant, index, node)
     out = out.withColumn("attributes", attr_json(F.col("attributes")))
