@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.hashing import shape_hash_of
 from tidelog.functions.masking import mask_line
 from tidelog.operators import catalog, context, dictionary, forward, mining, planner, policy, rollup, scan, shapes, signals, suggestions, typed
+from tidelog.plans import catalogue
 from tidelog.sources import records
 from tidelog.sources.records import RECORD
 
@@ -142,6 +143,39 @@ def test_mining_equals_a_replay_of_every_line(spark, seed, config):
     assert {x.observed_ns: (x.template_id, x.template, x.is_new) for x in rows} == replayed(rows, mining.MinerConfig(**config))
 
 
+class Plain(mining.Miner):
+    """Compares a line with every template of its leaf."""
+
+    def _near(self, node, tokens):
+        return list(node.templates) if node else []
+
+
+@pytest.mark.parametrize("like", [2.0, 0.9, 0.8, 0.5, 0.0])
+def test_lines_meet_all_templates_that_may_be_alike(like):
+    r = random.Random(like)
+    config = mining.MinerConfig(similarity=like, max_children=4, max_templates=None)
+    quick, plain, met, there = mining.Miner(config), Plain(config), 0, 0
+    for _ in range(3000):
+        line = [f"{c}{r.randrange(2)}" for c in "abcdefghijklmnopqrstuvwxyz"[: r.choice([1, 2, 3, 4, 5, 9, 20, 26])]]
+        for k in range(len(line)):
+            if r.random() < 0.1:
+                line[k] = r.choice(["<NUM>", "<*>", "x", "y"])
+        leaf = quick._leaf(line)
+        met, there = met + len(quick._near(leaf, line)), there + len(leaf.templates if leaf else [])
+        assert quick.add(line) == plain.add(line)
+    assert {n: (t.tokens, t.count) for n, t in quick.templates.items()} == {n: (t.tokens, t.count) for n, t in plain.templates.items()}
+    assert met < there or like < 0.9
+
+
+def test_free_text_has_no_cap(spark, tmp_path):
+    """More texts of a role than the log engine's 10,000 templates."""
+    n = mining.MinerConfig().max_templates + 50
+    turns = spark.range(n).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "translate(concat_ws(' ', id, 7 * id, 'and', 11 * id), '0123456789', 'abcdefghij') AS text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalogue.queries()["mined_texts"](spark, str(tmp_path)).agg(F.count("template"), F.count_if("is_new")).first()
+    assert tuple(got) == (n, n)
+
+
 def test_correlation_keys(spark):
     a = [("request_id", "Str", "r1")]
     rows = context.correlation_key(

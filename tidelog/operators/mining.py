@@ -15,6 +15,11 @@ tree only changes where a node gets a child, and a template that agrees with a l
 all comparable slots goes on doing so. A group in which a repeat might do otherwise (see
 `_settled`) is replayed line by line, in one ordered pass. `exact=False` spares all that:
 each masked line keeps what it got at its first arrival.
+
+A leaf may hold very many templates, as free text makes. A line then meets those that may
+be similar enough and no others: of the blocks that the tokens are cut into there are more
+than tokens may differ, so such a template has a block in common with the line, or too few
+blocks without placeholders to tell. What is met is compared as a whole.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ class MinerConfig:
     depth: int = 4
     max_children: int = 100
     similarity: float = 0.9
-    max_templates: int = 10_000
+    max_templates: int | None = 10_000  # None: as many as there are
 
 
 @dataclass
@@ -59,6 +64,10 @@ class Template:
 class _Node:
     children: dict = field(default_factory=dict)
     templates: list[int] = field(default_factory=list)
+    places: dict[int, int] = field(default_factory=dict)  # of the templates in that list
+    blocks: dict[int, list[int]] = field(default_factory=dict)  # places by the hash of a block
+    literal: list[int] = field(default_factory=list)  # by place: how many blocks have no placeholder
+    by_literal: dict[int, dict[int, None]] = field(default_factory=dict)  # and the places by that number
 
 
 def similarity(template: list[str], tokens: list[str]) -> float:
@@ -104,7 +113,13 @@ class Miner:
             if key not in node.children and len(node.children) >= self.config.max_children:
                 key = WILD
             node = node.children.setdefault(key, _Node())
+        place, blocks = len(node.templates), self._blocks(t.tokens)
         node.templates.append(t.number)
+        node.places[t.number] = place
+        for h in blocks:
+            node.blocks.setdefault(h, []).append(place)
+        node.literal.append(len(blocks))
+        node.by_literal.setdefault(len(blocks), {})[place] = None
 
     def _leaf(self, tokens: list[str]) -> _Node | None:
         node = self.roots.get(len(tokens))
@@ -118,9 +133,42 @@ class Miner:
             node = below
         return node
 
-    def _candidates(self, tokens: list[str]) -> list[int]:
-        node = self._leaf(tokens)
-        return node.templates if node else []
+    def _cuts(self, n: int) -> tuple[int, int]:
+        """Of lines of n tokens: how many tokens may differ, and the number of blocks."""
+        spare = min(n, max(0, int(n * (1 - self.config.similarity) + 1e-9)))
+        return spare, min(max(0, n - self.levels), 2 * (spare + 1))
+
+    def _blocks(self, tokens: list[str]) -> list[int]:
+        """Hashes of those blocks that have no placeholder. What leads to the leaf is in none."""
+        many, first = self._cuts(len(tokens))[1], min(self.levels, len(tokens))
+        ends = [first + (len(tokens) - first) * j // many for j in range(many + 1)] if many else []
+        parts = ((j, *tokens[a:b]) for j, (a, b) in enumerate(zip(ends, ends[1:])))
+        return [hash(x) for x in parts if not any(map(is_placeholder, x[1:]))]
+
+    def _near(self, node: _Node | None, tokens: list[str]) -> list[int]:
+        """In order of insertion, the node's templates that may be similar enough; some
+        may not be, but no other is."""
+        if node is None or not node.templates:
+            return []
+        spare, many = self._cuts(len(tokens))
+        own, hits = self._blocks(tokens), {}
+        for h in own:
+            for place in node.blocks.get(h, ()):
+                hits[place] = hits.get(place, 0) + 1
+        most = many - len(own) + spare  # so many of a template's blocks may fail to be found
+        found = {place for place, n in hits.items() if n >= node.literal[place] - most}
+        for n, places in node.by_literal.items():
+            if n <= most:
+                found.update(places)
+        return [node.templates[place] for place in sorted(found)]
+
+    def _widened(self, node: _Node, t: Template) -> None:
+        """Its former blocks stay: they lead to it for nothing, which does no harm."""
+        place, n = node.places[t.number], len(self._blocks(t.tokens))
+        if n != node.literal[place]:
+            del node.by_literal[node.literal[place]][place]
+            node.literal[place] = n
+            node.by_literal.setdefault(n, {})[place] = None
 
     def add(self, tokens: list[str], at_ns: int = 0, times: int = 1, last_ns: int | None = None, full: bool = False) -> tuple[int | None, bool]:
         """The number of the template that the masked line joins, and whether it is new;
@@ -128,8 +176,8 @@ class Miner:
         self.seen += times
         if not tokens:
             return None, False
-        best, score = None, self.config.similarity
-        for number in self._candidates(tokens):
+        best, score, leaf = None, self.config.similarity, self._leaf(tokens)
+        for number in self._near(leaf, tokens):
             s = similarity(self.templates[number].tokens, tokens)
             if s >= score:  # the last one inserted wins a tie
                 best, score = number, s
@@ -140,9 +188,10 @@ class Miner:
             t.last_ns = max(t.last_ns, at_ns if last_ns is None else last_ns)
             if wider != t.tokens:
                 t.tokens = wider
+                self._widened(leaf, t)
                 self._note(t)
             return best, False
-        if full or len(self.templates) >= self.config.max_templates:
+        if full or self.config.max_templates is not None and len(self.templates) >= self.config.max_templates:
             self.untemplated += times
             return None, False
         text = " ".join(tokens)
@@ -173,9 +222,9 @@ def _settled(miner: Miner, shapes: Iterable[tuple[list[str], int, int | None, _N
     for tokens, times, number, leaf in shapes:
         if times == 1:
             continue
-        if number is None or leaf is None or miner._leaf(tokens) is not leaf or number not in leaf.templates:
+        if number is None or leaf is None or miner._leaf(tokens) is not leaf or number not in leaf.places:
             return False
-        later = leaf.templates[leaf.templates.index(number) + 1 :]
+        later = (k for k in miner._near(leaf, tokens) if leaf.places[k] > leaf.places[number])
         if any(similarity(miner.templates[k].tokens, tokens) == 1 for k in later):
             return False
     return True
@@ -238,7 +287,8 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     Lines without tokens have nulls. Columns of these names that come in are replaced."""
     ship(logs.sparkSession)
     logs = logs.drop("template_id", "template", "lineage_id", "is_new", "params")
-    keys, roomy = [*scope, "__n"], replace(config, max_templates=config.max_templates + 1)
+    keys, capped = [*scope, "__n"], config.max_templates is not None
+    roomy = replace(config, max_templates=config.max_templates + 1) if capped else config
 
     def prepared(rows: DataFrame, raw: str | None = None) -> DataFrame:
         return mask_key(rows, body, "__key", raw).withColumn("__n", F.size(split_key(F.col("__key")))).withColumn("__at", F.struct(*order))
@@ -299,12 +349,13 @@ def mine_templates(logs: DataFrame, scope: list[str], order: list[str], body: st
     # the cap holds for a scope's templates of all token counts together: from the moment on at
     # which one more would be made (in groups that lines replay: by their shapes), none is
     named, cuts = named_by(None), None
-    born = Window.partitionBy(*(f"__s{i}" for i in range(len(scope)))).orderBy("__since")
-    births = named.where("is_new").withColumn("__rank", F.row_number().over(born))
-    over = births.where(F.col("__rank") == config.max_templates + 1).select(*(f"__s{i}" for i in range(len(scope))), F.col("__since").alias("__cut"))
-    if over.limit(1).count():
-        cuts = kept(over, "mined-cuts")
-        named = named_by(cuts)
+    if capped:
+        born = Window.partitionBy(*(f"__s{i}" for i in range(len(scope)))).orderBy("__since")
+        births = named.where("is_new").withColumn("__rank", F.row_number().over(born))
+        over = births.where(F.col("__rank") == config.max_templates + 1).select(*(f"__s{i}" for i in range(len(scope))), F.col("__since").alias("__cut"))
+        if over.limit(1).count():
+            cuts = kept(over, "mined-cuts")
+            named = named_by(cuts)
     masked = _capped(masked, cuts, scope, F.col("__at"))
     masked = masked.withColumn("__hash", F.xxhash64("__key"))
     on = (F.col("__hash") == F.col("__h")) & (F.col("__key") == F.col("__k"))

@@ -743,10 +743,11 @@ _FREE = f"""a AS (SELECT conv_id, turn, role, unnest(x) AS w, generate_subscript
 
 @query(f"WITH {_FREE} SELECT conv_id, turn, template_id, template, row_number() OVER (PARTITION BY role, template ORDER BY conv_id, turn) = 1 AS is_new FROM k JOIN ids USING (template) UNION ALL SELECT conv_id, turn, NULL, NULL, false FROM conversations WHERE trim(coalesce(text, '')) = ''")
 def mined_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Templates of free text: the turns of conversations, mined in order. The SQL counts on
-    texts that are too unlike to join one another and hold no asides."""
+    """Templates of free text: the turns of conversations, mined in order. Nearly every text is
+    a template of its own, so there is no cap. The SQL counts on texts that are too unlike to
+    join one another and hold no asides."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", F.col("text").alias("body"))
-    return mining.mine_templates(turns, ["role"], ["conv_id", "turn"]).select("conv_id", "turn", "template_id", "template", "is_new")
+    return mining.mine_templates(turns, ["role"], ["conv_id", "turn"], config=mining.MinerConfig(max_templates=None)).select("conv_id", "turn", "template_id", "template", "is_new")
 
 
 # --- typed columns ---------------------------------------------------------------------
