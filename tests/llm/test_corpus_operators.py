@@ -159,6 +159,49 @@ def test_strangers_with_a_common_half_share_few_buckets(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_common_elements_are_counted():
+    r = np.random.default_rng(1)
+    x, y = ([np.sort(r.choice(5000, r.integers(0, 300), replace=False)).astype(np.uint64) for _ in range(n)] for n in (30, 20))
+    assert dm.in_common(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert np.triu(dm.in_common(x, step=64), 1).tolist() == np.triu([[len(np.intersect1d(a, b)) for b in x] for a in x], 1).tolist()
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_leading_elements_meet(least, weighting):
+    """Each pair that is similar enough has its first common element in both leads, and in
+    the short one of the smaller set."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(30)}" for _ in range(r.choice([1, 5, 6, 9, 40, 90]))]
+        texts += [" ".join(w for w in base + ["x", "y", "a", "b"] * r.randrange(3) if r.random() > 0.02) or "x" for _ in range(6)]
+    doc, h, n = dm.shingles(texts)
+    parts = [(h[doc == i].tobytes(), n[doc == i].astype(np.int32).tobytes() if weighting == "count" else None) for i in range(len(texts))]
+    elements = [dm._elements(*p) for p in parts]
+    counts = np.bincount((np.concatenate(elements) % np.uint64(dm.SLOTS)).astype(np.int64), minlength=dm.SLOTS)
+    leads, pairs = [dm.leading(x, counts, least) for x in elements], 0
+    for i, (x, short) in enumerate(leads):
+        for j, (y, _) in enumerate(leads):
+            if i != j and len(elements[i]) <= len(elements[j]) and dm.similarity(*parts[i], *parts[j]) >= least:
+                pairs += 1
+                assert set(x[:short].tolist()) & set(y.tolist())
+    assert pairs > 50
+
+
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_links_do_not_depend_on_a_buckets_size(spark, weighting):
+    """Strangers with a passage in common, and near copies among them, which mostly share
+    one bucket only; with tiny blocks it counts as a large one."""
+    r = random.Random(9)
+    half = [f"h{k}" for k in range(60)]
+    texts = [" ".join(half + [f"w{r.randrange(9000)}" for _ in range(30)]) for _ in range(60)]
+    texts += [t.rsplit(" ", 3)[0] + f" z{i}" for i, t in enumerate(texts[::2])] + ["same words " * 40, "same words " * 44]
+    d = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    whole, small = ({x.doc_id: x.class_id for x in dm.near_duplicates(d, bands=2, rows=1, weighting=weighting, block=block).collect()} for block in (256, 1))
+    assert small == whole and sum(i != c for i, c in whole.items()) > 20
+
+
 def test_one_large_group_of_near_copies(spark):
     """Members link with the smallest one, or through others, or not at all."""
     r = random.Random(5)

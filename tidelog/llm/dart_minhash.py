@@ -18,15 +18,17 @@ Each member is compared with the smallest of its bucket, which takes one row a m
 what that links is a component, and a bucket whose members are one component is done.
 In the others only pairs of different components are left: the members outside the
 bucket's largest component are compared with all, in tiles. A bucket that has very many
-of those holds strangers with a passage in common; its members are banded again by their
-other bands, up to `depth` times, and only what then still meets is tiled, so no pair
-that shares its buckets is dropped.
+of those holds strangers with a passage in common; it is dealt out first, by the shingles
+that lead each member's set, rarest first. A pair of similarity t has t of the larger set
+and 2t / (1 + t) of the smaller one in common, so the first shingle in common is among the
+leading 1 - t of the one and 1 - 2t / (1 + t) of the other: each pair that is sought meets
+again, whatever its bucket's size, and strangers mostly don't. What meets is tiled.
 
 A tile has at most about `block` documents and 4 MB of shingles a side (or one document),
-and small tiles are packed by bytes. It counts agreeing coordinates in numpy, goes on with
-the pairs that agree in 0.6 of them or more (a pair of similarity 0.8 falls below that
-with probability 1e-13), and decides those by the exact share of common shingles. It
-returns a forest of links, never pairs.
+and small tiles are packed by bytes. It counts the common shingles of all its pairs as
+products of matrices and decides by their exact share, as the comparison with the smallest
+does, so it does not matter which of the two a pair meets in. It returns a forest of links,
+never pairs.
 
 Defined results: words are runs of anything but ASCII white space; a text of one to
 four words has one shingle, all its words; null and empty texts have none and stay
@@ -187,21 +189,20 @@ def sketches(docs: DataFrame, bands: int, rows: int, weighting: str) -> DataFram
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, words binary, bands array<long>")
 
 
-def members(docs: DataFrame, coordinates: int, weighting: str) -> DataFrame:
-    """doc_id, signature (8 bits a coordinate), sorted shingle hashes, their weights, bytes."""
+def members(docs: DataFrame, weighting: str) -> DataFrame:
+    """doc_id, sorted shingle hashes, their weights, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in _chunks(b):
                 doc, h, n = shingles(texts)
-                sig = dart_signatures(doc, h, n.astype(float) if weighting == "count" else np.ones(len(n)), len(texts), coordinates).astype(np.uint8)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
                 sets = [h[i:j].tobytes() for i, j in zip(cut, cut[1:])]
                 many = [n[i:j].astype(np.int32).tobytes() if weighting == "count" else None for i, j in zip(cut, cut[1:])]
-                size = np.diff(cut) * (12 if weighting == "count" else 8) + coordinates
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(sets, pa.binary()), pa.array(many, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "g", "s", "n", "bytes"])
+                size = np.diff(cut) * (12 if weighting == "count" else 8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(many, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "s", "n", "bytes"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, g binary, s binary, n binary, bytes long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, s binary, n binary, bytes long")
 
 
 def _weights(sets: list[bytes], many: list[bytes | None]) -> list[np.ndarray]:
@@ -223,37 +224,59 @@ def similarity(s1: bytes, n1: bytes | None, s2: bytes, n2: bytes | None) -> floa
     return float(similarities((s1, n1), [s2], [n2])[0])
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many coordinates each row of x shares with each row of y."""
-    if len(x) * len(y) <= 4096:
-        return (x[:, None, :] == y[None, :, :]).sum(2)
-    out = np.zeros((len(x), len(y)), np.int16)
-    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
-        out += a[:, None] == b[None, :]
+def _elements(s: bytes, n: bytes | None) -> np.ndarray:
+    """A document's shingles; those it counts more than once are as many elements."""
+    x = np.frombuffer(s, np.uint64)
+    if n is None:
+        return x
+    w = np.frombuffer(n, np.int32)
+    nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    x = np.repeat(x, w)
+    return np.where(nth > 0, mixed(x + nth.astype(np.uint64)), x)
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray] | None = None, step: int = 2048) -> np.ndarray:
+    """How many elements each set of left shares with each of right, or of left itself:
+    products of 0/1 matrices over the elements that more than one set holds."""
+    sides = [left] if right is None else [left, right]
+    own, x = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in sides], [np.concatenate(s) for s in sides]
+    if right is None:
+        values, many = np.unique(x[0], return_counts=True)
+        both = values[many > 1]
+    else:
+        both = np.intersect1d(*x)
+    out = np.zeros((len(sides[0]), len(sides[-1])))
+    if not len(both):
+        return out
+    cells = []
+    for o, v in zip(own, x):
+        at = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        on = np.flatnonzero(both[at] == v)
+        on = on[np.argsort(at[on], kind="stable")]
+        cells.append((o[on], at[on]))
+    for start in range(0, len(both), step):
+        ones = []
+        for side, (o, at) in zip(sides, cells):
+            lo, hi = np.searchsorted(at, (start, start + step))
+            m = np.zeros((len(side), min(step, len(both) - start)), np.float32)
+            m[o[lo:hi], at[lo:hi] - start] = 1
+            ones.append(m)
+        out += ones[0] @ ones[-1].T
     return out
 
 
-def tile_links(left: pd.DataFrame, right: pd.DataFrame | None, least: float, slack: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(left: pd.DataFrame, right: pd.DataFrame | None, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and roots of the links between different components (column comp) of a
     tile; without `right`, of left with itself."""
-    own = right is None
-    right = left if own else right
-    g = [np.stack([np.frombuffer(v, np.uint8) for v in f.g]) for f in (left, right)]
-    near = (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :]) & (agreement(*g) >= (least - slack) * g[0].shape[1])
-    if left.n.isna().all():
-        size = [f.s.str.len().to_numpy() // 8 for f in (left, right)]
-        near &= np.minimum(size[0][:, None], size[1][None, :]) >= least * np.maximum(size[0][:, None], size[1][None, :])
-    if own:
-        near = np.triu(near, 1)
-    ids, jds, s, n = left.doc_id.to_numpy(), right.doc_id.to_numpy(), right.s.to_numpy(), right.n.to_numpy()
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(near.any(1)):
-        j = np.flatnonzero(near[i])
-        j = j[similarities((left.s.iloc[i], left.n.iloc[i]), list(s[j]), list(n[j])) >= least]
-        out.append((np.full(len(j), ids[i]), jds[j]))
-    if not out:
+    sides = [left] if right is None else [left, right]
+    sets = [[_elements(s, n) for s, n in zip(f.s, f.n)] for f in sides]
+    low, size = in_common(*sets), [np.array([len(x) for x in v]) for v in sets]
+    near = low / np.maximum(1, size[0][:, None] + size[-1][None, :] - low) >= least
+    near &= sides[0].comp.to_numpy()[:, None] != sides[-1].comp.to_numpy()[None, :]
+    i, j = np.nonzero(np.triu(near, 1) if right is None else near)
+    if not len(i):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return roots(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))
+    return roots(sides[0].doc_id.to_numpy()[i], sides[-1].doc_id.to_numpy()[j])
 
 
 LINKS = "a long, b long"
@@ -280,6 +303,58 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SIDE, PACK = 1 << 22, 1 << 23
 
 
+#: Counts by which shingles are ordered; several shingles share one.
+SLOTS = 1 << 16
+
+
+def _slot_counts(mem: DataFrame) -> np.ndarray:
+    """How many elements of members fall into each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for s, n in zip(b.column(0), b.column(1)):
+                out += np.bincount((_elements(s.as_py(), n.as_py()) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["slot", "n"])
+
+    found = arrow_map(mem.select("s", "n"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def leading(x: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The elements of a set, rarest first, one of which is the first in common with any
+    set of similarity `least`; and how many of them do if that set is not smaller."""
+    n = len(x)
+    long, short = (min(n, n - int(np.ceil(share * n - 1e-6)) + 1) for share in (least, 2 * least / (1 + least)))
+    return x[np.lexsort((x, counts[(x % np.uint64(SLOTS)).astype(np.int64)]))[:long]], short
+
+
+def _met_again(hot: DataFrame, mem: DataFrame, least: float) -> DataFrame:
+    """Members of large buckets (key, doc_id, comp) by bucket and leading shingle."""
+    ids = kept(hot.select(F.col("doc_id").alias("id")).distinct(), "hot-ids")
+    mem = kept(mem.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "s", "n"), "hot-members")
+    counts = _slot_counts(mem)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in by_weight(pc.binary_length(b.column(1)).to_pylist(), SIDE):
+                ids, lead, small = [], [], []
+                for i in range(part.start, part.stop):
+                    x, short = leading(_elements(b.column(1)[i].as_py(), b.column(2)[i].as_py()), counts, least)
+                    ids.append(np.full(len(x), b.column(0)[i].as_py(), np.int64))
+                    lead.append(x.view(np.int64))
+                    small.append(np.arange(len(x)) < short)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, lead, small)], ["id", "lead", "small"])
+
+    each = kept(arrow_map(mem, run, "id long, lead long, small boolean"), "leading")
+    shared = kept(each.groupBy("lead").agg(F.count("*").alias("m"), F.max("small").alias("small")).where("m > 1 and small").select("lead"), "shared-leading")
+    each = each.select("id", "lead").join(shared, "lead")
+    return hot.select("key", "doc_id", "comp").join(each, F.col("doc_id") == F.col("id")).select(F.xxhash64("key", "lead").alias("key"), "doc_id", "comp").distinct()
+
+
 def _blocks(rows, size, block: int):
     return F.ceil(F.greatest(rows / block, size / SIDE)).cast("int")
 
@@ -332,7 +407,7 @@ def _tile_links(rest: DataFrame, per: DataFrame, mem: DataFrame, least: float, b
     i, j = F.least("mine", "other"), F.greatest("mine", "other")
     group = F.when(F.col("one"), F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.col("key"))
     dealt = dealt.select(F.col("one"), group.alias("group"), i.alias("i"), j.alias("j"), ((i != j) & (F.col("mine") == j)).alias("right"), "key", "comp", "doc_id")
-    dealt = dealt.join(mem.select(F.col("doc_id").alias("d"), "g", "s", "n"), F.col("doc_id") == F.col("d")).drop("d")
+    dealt = dealt.join(mem.select(F.col("doc_id").alias("d"), "s", "n"), F.col("doc_id") == F.col("d")).drop("d")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         order, ends = _runs(pdf["key"].to_numpy())
@@ -347,21 +422,21 @@ def _tile_links(rest: DataFrame, per: DataFrame, mem: DataFrame, least: float, b
     return dealt.groupBy("one", "group", "i", "j").applyInPandas(compare, LINKS)
 
 
-def _links(reps: DataFrame, docs: DataFrame, least: float, bands: int, rows: int, weighting: str, block: int, depth: int) -> DataFrame:
+def _links(reps: DataFrame, docs: DataFrame, least: float, weighting: str, block: int) -> DataFrame:
     """Links (a, b) that connect what pairs of reps (doc_id, bands) of similarity
-    `least` connect."""
+    `least` connect, if they share a bucket."""
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("high > low").select("key")
-    met = kept(keys.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("comp"), F.array("key").alias("used")).distinct(), "met")
+    met = kept(keys.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("comp")).distinct(), "met")
     ids = kept(met.select(F.col("doc_id").alias("id")).distinct(), "ids")  # written first: while small it is sent to the texts, not they to it
-    mem = kept(members(docs.join(ids, F.col("doc_id").cast("long") == F.col("id"), "left_semi"), bands * rows, weighting).dropDuplicates(["doc_id", "s"]), "members")
+    mem = kept(members(docs.join(ids, F.col("doc_id").cast("long") == F.col("id"), "left_semi"), weighting).dropDuplicates(["doc_id", "s"]), "members")
     links: list[DataFrame] = []
-    for level in range(depth + 1):
+    for level in range(2):
         h, h2 = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(level))
-        same = met.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("low"), F.bit_xor(h).alias("x"), F.bit_xor(h2).alias("y"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        same = same.where("m > 1 and c1 <> c2").groupBy("m", "low", "x", "y").agg(F.min("key").alias("k")).drop("x", "y")
+        same = met.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("low"), F.bit_xor(h).alias("x"), F.bit_xor(h2).alias("y"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min_by("comp", "doc_id").alias("c0"))
+        same = same.where("m > 1 and c1 <> c2").groupBy("m", "low", "c0", "x", "y").agg(F.min("key").alias("k")).drop("x", "y")
         met = kept(met.join(same, F.col("key") == F.col("k")).drop("k"), "buckets")
-        links.append(kept(_star_links(met.where("doc_id > low").select("low", "doc_id").distinct(), mem, least, block), "star-links"))
+        links.append(kept(_star_links(met.where("comp <> c0").select("low", "doc_id").distinct(), mem, least, block), "star-links"))
         comp = components(reduce(DataFrame.unionByName, links))
         known = met.where("m > 2").drop("comp").join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
         known = kept(known.join(mem.groupBy(F.col("doc_id").alias("d")).agg(F.sum("bytes").alias("bytes")), F.col("doc_id") == F.col("d")).drop("d"), "known")
@@ -373,23 +448,21 @@ def _links(reps: DataFrame, docs: DataFrame, least: float, bands: int, rows: int
         per = kept(per, "left-over")
         rest = known.join(per.select(F.col("key").alias("k"), "top", "nb"), F.col("key") == F.col("k")).drop("k")
         rest = rest.withColumn("major", F.coalesce(F.col("comp") == F.col("top"), F.lit(False)))
-        hot = F.col("nb") > 4 if level < depth else F.lit(False)
+        hot = F.col("nb") > 4 if level == 0 else F.lit(False)
         links.append(kept(_tile_links(rest.where(~hot).drop("nb"), per.where(~hot), mem, least, block), "tile-links"))
-        if level == depth or not per.where(hot).limit(1).count():
+        if level == 1 or not per.where(hot).limit(1).count():
             break
-        met = rest.where(hot).select("key", "doc_id", "comp", "used").join(reps.select(F.col("doc_id").alias("d"), "bands"), F.col("doc_id") == F.col("d"))
-        met = met.withColumn("band", F.explode(F.array_except("bands", "used"))).withColumn("used", F.array_sort(F.concat("used", F.array("band"))))
-        met = kept(met.select(F.xxhash64("used").alias("key"), "doc_id", "comp", "used").distinct(), "met-again")
+        met = kept(_met_again(rest.where(hot), mem, least), "met-again")
     return reduce(DataFrame.unionByName, links)
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 40, rows: int = 6, weighting: str = "set", block: int = 256, depth: int = 3, salts: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = 0.8, bands: int = 40, rows: int = 6, weighting: str = "set", block: int = 256, salts: int = 16) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id that links lead to,
     itself included), kept (doc_id = class_id)."""
     sk = kept(sketches(docs, bands, rows, weighting), "sketches")
     classes = kept(sk.where("words is not null and doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = sk.where("words is not null").join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "bands")
-    comp = components(_links(reps, docs, least, bands, rows, weighting, block, depth))
+    comp = components(_links(reps, docs, least, weighting, block))
     # a text may have very many copies: its rows meet their class in `salts` parts
     of = classes.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("words").alias("w"), F.coalesce("component", "rep").alias("class_id"), "rep", "copies")
     of = of.where("copies > 1 or class_id <> rep").select("w", "class_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
