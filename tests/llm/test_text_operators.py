@@ -9,12 +9,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidelog.llm import jpeg_media, license_rules, queries, warc
+from tidelog.llm.common import arrow_map
+from tidelog.llm.gam_quality import accepted, quality_scores
 from tidelog.llm.license_rules import license_scan
 from tidelog.llm.sentencepiece_bpe import MergeVocabulary, sentencepiece_round_trip, vocabulary
 from tidelog.llm.token_counts import _tokenizer, count_batch, pieces, token_counts
@@ -79,6 +82,35 @@ def test_sentencepiece_rows(spark, vocab):
     assert sentencepiece_round_trip(docs(spark).limit(0)).collect() == []
 
 
+def test_other_operators_find_no_vocabulary_in_their_workers(spark):
+    def held(batches):
+        import os
+
+        for b in batches:
+            n = vocabulary.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * b.num_rows), pa.array([n] * b.num_rows)], ["worker", "n"])
+
+    def workers(owner):
+        rows = arrow_map(spark.range(400).repartition(8), held, "worker long, n long", owner=owner).distinct().collect()
+        return {r.worker for r in rows if r.n}
+
+    before = docs(spark, [f"the brown fox {i}" for i in range(400)]).repartition(8)
+    assert sentencepiece_round_trip(before).agg(F.sum("n_tokens")).first()[0] > 400
+    assert workers("sentencepiece")
+    assert not workers("another")
+
+
+def test_accepted_scores_batches_in_slices_alike(spark):
+    texts = [None, "", *(f"The brown fox {i} jumps over the lazy dog. " * (1 + i % 3) for i in range(2500))]
+    d = docs(spark, texts).coalesce(1)
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 2500, 5)], "doc_id long, quality int").withColumn("quality", (F.col("quality") > 0).cast("int"))
+    most = max(quality_scores(d, labels).toPandas()["score"])
+    least = (most + 0.5) / 2
+    want = {r.doc_id for r in quality_scores(d, labels, least).where("predicted = 1").collect()}
+    assert {r.doc_id for r in accepted(d, labels, least).collect()} == want
+    assert 0 < len(want) < len(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200), st.integers(1, 40))
 def test_cut_texts_count_alike(text, cut):

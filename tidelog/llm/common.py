@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..scratch import discard, forget_at_exit, kept, scratch_path
 from ..shipping import ship
 
-__all__ = ["WORD", "arrow_map", "by_weight", "discard", "forget_at_exit", "kept", "running_totals", "scratch_path", "table", "words_in"]
+__all__ = ["WORD", "arrow_map", "by_weight", "discard", "forget_at_exit", "held_by", "kept", "let_go", "running_totals", "scratch_path", "table", "words_in"]
 
 #: A word, everywhere in this package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,10 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> DataFrame:
+#: What operators hold in this worker from task to task: by owner, how to drop it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def held_by(owner: str, drop: Callable[[], None]) -> None:
+    _held[owner] = drop
+
+
+def let_go(owner: str = "") -> None:
+    """Drop what operators other than `owner` hold in this worker. Spark uses workers again
+    for whatever runs next, which has no use for it but is counted with it."""
+    others = [o for o in _held if o != owner]
+    for other in others:
+        _held.pop(other)()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str, rows: int = 1000, owner: str = "") -> DataFrame:
     """mapInArrow with this package on the workers' path. Spark bounds its batches by bytes;
     `run` gets them in slices of at most `rows` rows, so that few texts become Python
-    objects at a time."""
+    objects at a time. What a worker holds of other owners is dropped first."""
     ship(df.sparkSession)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +61,7 @@ def arrow_map(df: DataFrame, run: Callable, schema: str, rows: int = 1000) -> Da
                 yield b.slice(at, rows)
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)
         yield from run(slices(batches))
         pa.default_memory_pool().release_unused()  # workers are used again: give it back
 

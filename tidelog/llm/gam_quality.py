@@ -26,13 +26,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import arrow_map
+from .common import arrow_map, let_go
 
 FEATURES = ["log_words", "word_length", "longest_word", "upper", "symbols", "digits", "distinct_words", "top_word", "repeats", "triples", "lines_repeated", "odd_ends", "sentence_ends", "line_ends", "bars", "shouted"]
 _symbols = re.compile(r"[^\w\s.,;:!?'\"()-]")
@@ -243,8 +242,13 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.7, fit_rows: i
     """The documents, all their columns, that the classifier doesn't reject."""
     model = train(docs, labels, fit_rows)
 
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t or "") for t in texts], float).reshape(-1, len(FEATURES))))
+    def score(texts: pa.Array) -> pa.Array:
+        let_go()
+        found = [np.zeros(0)]
+        for at in range(0, len(texts), 1000):  # few texts become Python objects at a time
+            x = [features(t or "") for t in texts.slice(at, 1000).to_pylist()]
+            found.append(model.score(np.array(x, float).reshape(-1, len(FEATURES))))
+        return pa.array(np.concatenate(found))
 
     ship(docs.sparkSession)
-    return docs.where(F.pandas_udf(score, "double")("text") >= least)
+    return docs.where(F.arrow_udf(score, "double")("text") >= least)

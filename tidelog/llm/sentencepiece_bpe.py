@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, held_by
 
 SPACE = "▁"
 NONE = 1 << 60
@@ -151,14 +151,20 @@ class MergeVocabulary:
                 raise ValueError(f"the ids of {texts[i][:80]!r} differ from the library's")
 
 
+#: Names the vocabularies among what a worker holds.
+OWNER = "sentencepiece"
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str | None = None) -> MergeVocabulary:
+    """Held, with the units it has seen, until another operator runs in the worker."""
     import sentencepiece
 
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
+    held_by(OWNER, vocabulary.cache_clear)
     return MergeVocabulary(sentencepiece.SentencePieceProcessor(model_file=path))
 
 
@@ -179,7 +185,7 @@ def _encoded(docs: DataFrame, model_path: str | None, chunk: int, columns: Calla
                 v.check_whole(texts, ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(v, ids, v.sp.decode(ids, num_threads=1))], [x.split()[0] for x in schema.split(", ")])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, owner=OWNER)
 
 
 def sentencepiece_encode(docs: DataFrame, model_path: str | None = None, chunk: int = 128) -> DataFrame:
